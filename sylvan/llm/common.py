@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.session import importable
+
 #: Rows and bytes of one Arrow batch of texts. Both bound a Python worker's memory; neither drops rows.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -17,6 +19,7 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 def tune(spark: SparkSession) -> SparkSession:
     """Keeps Arrow batches small enough for very long texts."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

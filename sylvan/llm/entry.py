@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import op1_tokens, op6_ids
+from sylvan.llm import op1_tokens, op6_ids, op7_urls, op8_licenses, op10_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_tokens.query,
         "op6_token_ids_orc": op6_ids.query,
+        "op7_url_filter": op7_urls.query,
+        "op8_license_scan": op8_licenses.query,
+        "op10_source_mix": op10_mix.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_url_filter": op7_urls.SQL,
+        "op8_license_scan": op8_licenses.SQL,
+        "op10_source_mix": op10_mix.SQL,
+    }
