@@ -67,7 +67,7 @@ class Merger:
     @functools.cached_property
     def whole(self) -> set[bytes]:
         """The vocabulary strings that merging alone brings back to one token."""
-        return {s for s in self.vocab if len(self.merge(s)) == 1}
+        return {s for s in self.vocab if len(s) == 1 or len(self.merge(s)) == 1}
 
     @functools.cached_property
     def _unproven(self) -> set[int]:
@@ -122,9 +122,13 @@ class Recent(dict):
         return value
 
 
+#: The last of the Latin letters, which have long been assigned without gaps.
+_SETTLED = "\u024f"
+
+
 def unsettled(text: str) -> bool:
     """True for text with code points that were unassigned until lately: Unicode tables differ on their classes."""
-    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
+    return not text.isascii() and max(text) > _SETTLED and any(unicodedata.category(c) == "Cn" for c in text)
 
 
 @functools.lru_cache(4)
@@ -135,6 +139,17 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+_LOCAL: dict = {}
+
+
+def local(make, merger: Merger):
+    """One `make(merger)` for all tasks that a Python worker runs, so that what it remembers serves them all."""
+    key = (make, merger.path)
+    if key not in _LOCAL:
+        _LOCAL[key] = make(merger)
+    return _LOCAL[key]
+
+
 def split_special(text: str, special) -> tuple[list[str], int]:
     """The parts between special strings, and how many of those there are."""
     if not any(s in text for s in special):

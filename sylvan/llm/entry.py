@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import op1_tokens, op6_ids, op7_urls, op8_licenses, op10_mix
+from sylvan.llm import op1_tokens, op2_quality, op3_toxicity, op6_ids, op7_urls, op8_licenses, op10_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_tokens.query,
+        "op2_quality_ranking": op2_quality.query,
+        "op3_toxicity": op3_toxicity.query,
         "op6_token_ids_orc": op6_ids.query,
         "op7_url_filter": op7_urls.query,
         "op8_license_scan": op8_licenses.query,

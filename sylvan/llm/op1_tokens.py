@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     proven = spark.sparkContext.broadcast(bpe.merger(tokenizer))  # as large as the vocabulary, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(proven.value)
+        counter = bpe.local(Counter, proven.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [counter.count(t) for t in texts]

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from sylvan.llm import bpe, common
 
-MEMO = 400_000
+#: Most chunks whose ids a worker remembers.
+MEMO = 300_000
 #: Rows of a row-index entry, and bytes of a stripe.
 ROW_INDEX, STRIPE = 1000, 16 << 20
 #: About so many bytes of Parquet go to one ORC file, and at least so many files are made.
@@ -44,9 +45,14 @@ class Encoder:
                 ids.append(self.merger.special[part])
                 continue
             # one character at a time: no final sigma
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for t in self.find(plain):
-                ids += self.merger.pieces(t.encode())
+            plain = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            if plain.isalpha() and "'" not in plain:  # the usual case needs no splitter
+                ids += self.merger.pieces(plain.encode())
+            elif plain[:-1].isalpha() and plain[-1] in ".,!":
+                ids += self.merger.pieces(plain[:-1].encode()) + self.merger.pieces(plain[-1].encode())
+            else:
+                for t in self.find(plain):
+                    ids += self.merger.pieces(t.encode())
         return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -79,7 +85,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(merger.value)
+        encoder = bpe.local(Encoder, merger.value)
         for b in batches:
             yield _encoded(encoder, b, end)
 
