@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import op1_tokens, op2_quality, op3_toxicity, op4_neighbours, op6_ids, op7_urls, op8_licenses, op10_mix
+from sylvan.llm import op1_tokens, op2_quality, op3_toxicity, op4_neighbours, op6_ids, op7_urls, op8_licenses, op9_jaccard, op10_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_ids_orc": op6_ids.query,
         "op7_url_filter": op7_urls.query,
         "op8_license_scan": op8_licenses.query,
+        "op9_jaccard_join": op9_jaccard.query,
         "op10_source_mix": op10_mix.query,
     }
 
