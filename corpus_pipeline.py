@@ -1,9 +1,62 @@
-"""The corpus pipeline: stages over documents, each on all that its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept.
 
-STAGES = []
+Toxic documents go, one document of each near-duplicate group stays, documents with benchmark passages go, sources are mixed
+to their target weights, and what is left is written as token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylvan.llm import common, op3_toxicity, op5_leaks, op6_ids, op9_jaccard, op10_mix
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op3_toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the smallest id stays; of rows with that id, one. Rows without id stay."""
+    groups = common.written(op9_jaccard.join(docs), "groups")
+    gone = common.written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "duplicates")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = common.written(groups.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5_leaks.without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op10_mix.apply_mix(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = common.fresh_path(spark, "pipeline-ids")
+    op6_ids.write_ids(docs, path, common.tokenizer_path("word_bpe_49k.json"))
+    return op6_ids.digest(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_ids", write_token_ids),
+]
+
+#: Trained scores, fingerprints and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written and read again before the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
