@@ -43,7 +43,7 @@ nodes AS MATERIALIZED (
 el AS MATERIALIZED (
   SELECT *, CAST(row_number() OVER s AS BIGINT) AS sib, lag(idx) OVER s AS prev, lead(idx) OVER s AS nxt FROM nodes WHERE kind = 'element'
   WINDOW s AS (PARTITION BY page_id, parent ORDER BY idx)),
-at AS MATERIALIZED (SELECT *, CASE WHEN t LIKE '% href="%' THEN regexp_extract(t, ' href="([^"]*)"', 1) END AS href,
+att AS MATERIALIZED (SELECT *, CASE WHEN t LIKE '% href="%' THEN regexp_extract(t, ' href="([^"]*)"', 1) END AS href,
     CASE WHEN t LIKE '% lang="%' THEN regexp_extract(t, ' lang="([^"]*)"', 1) END AS lang, CASE WHEN t LIKE '% class="%' THEN regexp_extract(t, ' class="([^"]*)"', 1) END AS class FROM el)
 """
 
