@@ -119,7 +119,10 @@ class Items:
         maybe = np.flatnonzero(self.table[h >> np.uint64(64 - self.bits)])
         if not len(maybe):
             return []
-        maybe = maybe[np.isin(h[maybe], self.known)]
+        at = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
+        maybe = maybe[self.known[at] == h[maybe]]
+        if not len(maybe):
+            return []
         places: dict[int, list[int]] = defaultdict(list)
         for p, x in zip(maybe.tolist(), h[maybe].tolist(), strict=True):
             for k in self.of_shingle[x]:
