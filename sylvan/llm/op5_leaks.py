@@ -190,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, start_word, n_words, distance, similarity): the best window of each item that a document holds.
 
     Words are runs of ASCII letters, digits and other non-ASCII characters, in lower case; shingles are five words, or all
-    words of a shorter text. Documents and items without words match nothing, null ids are carried, repeated rows match
+    words of a shorter text: an item of fewer than five words only matches texts that are those words. Documents and items without words match nothing, null ids are carried, repeated rows match
     alike, and without documents or items there are no rows. One pass over the documents for every 32 MB of items.
     """
     spark = common.tune(docs.sparkSession)
