@@ -46,11 +46,18 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `written` made, once all that was read from them is itself written."""
+    for t in tables:
+        delete(t.sparkSession, t._stored_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    """Removes a table that `written` or an operator made, when its readers are done."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 

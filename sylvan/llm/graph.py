@@ -21,12 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     # the smallest neighbour is a first label that needs no join
     labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        nearer = labels.join(around, "node").select("node", F.least("root", "low").alias("next"), F.col("root").alias("was"))
+        around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        nearer = labels.select("node", "root").join(around, "node").select("node", F.least("root", "low").alias("next"), F.col("root").alias("was"))
         nearer = common.written(nearer, "labels")
         jump = nearer.alias("x").join(nearer.select(F.col("node").alias("via"), F.col("next").alias("far")), F.col("next") == F.col("via"))
         fresh = common.written(jump.select("node", F.least("next", "far").alias("root"), "was"), "labels")
-        changed = fresh.where("root <> was").limit(1).count()
-        labels = fresh.select("node", "root")
-        if not changed:
-            return labels
+        common.discard(labels, nearer)
+        labels = fresh
+        if not fresh.where("root <> was").limit(1).count():
+            common.discard(both)
+            return fresh.select("node", "root")

@@ -37,6 +37,8 @@ SEGMENTS = 0.45
 SMALL, BLOCK = 24, 2000
 #: Sets of up to so many shingles differ in one at most from partners as large or larger; those have one shingle more at most.
 SHORT = 5
+#: Most ids (of eight bytes) that are broadcast to fetch texts.
+BROADCAST_IDS = 2_000_000
 #: Input bytes for a bucket of signatures.
 BUCKET_BYTES = 16 << 20
 
@@ -206,7 +208,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [sh.shingle_set(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    texts = docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    ids = common.written(wanted.select(F.col("id").alias("doc_id")), "op9-wanted")
+    # a list of bounded size goes to the texts; a longer one meets them in a shuffle
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     return texts.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
 
 
@@ -299,6 +303,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         more = common.written(more, "op9-more")
         if more.limit(1).count():
             labels = graph.components(edges.union(more))
+        common.discard(more)
+    common.discard(nodes, likely, sets, edges, deficient)
+    for kind in (PAIR, HOT):
+        common.delete(spark, f"{found._stored_at}/kind={kind}")
 
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     out = rows.join(named, "digest", "left")
