@@ -26,7 +26,8 @@ TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A block holds a template if at least this share of the template's distinct words is in it.
+#: A block, which is a line or a run of words as long as the template, holds a template if at least this share of the
+#: template's distinct words is in it.
 CONTAINMENT = 0.8
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -66,8 +67,9 @@ class Matcher:
     """
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
-        self.templates, self.by_word = [], {}
+        self.templates, self.by_word, self.runs = [], {}, {}
         for label, text in sorted(templates.items()):
+            self.runs[label] = len(words_of(text.encode()))
             words = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             k = len(self.templates)
@@ -88,6 +90,36 @@ class Matcher:
                 found.append((label, n / len(template)))
         return found
 
+    def text(self, low: bytes, words: list[bytes], held: set[bytes]) -> list[tuple[str, float]]:
+        """Templates in the lines of a text in lower case and in its runs of words, which pass over line ends. No block holds
+        more than the whole text does, so the filters are tried on that first."""
+        whole = self.block(held)
+        if not whole:
+            return []
+        found = [x for line in low.split(b"\n") for x in self.block(set(_WORDS(line)))]
+        likely = {label for label, _ in whole}
+        for label, template, need in self.templates:
+            if label in likely and (n := most_in_run(words, template, self.runs[label])) >= need:
+                found.append((label, n / len(template)))
+        return found
+
+
+def most_in_run(words: list[bytes], template: frozenset[bytes], size: int) -> int:
+    """The most distinct words of `template` in any `size` consecutive words. Runs that end with such a word are enough."""
+    at = [i for i, w in enumerate(words) if w in template]
+    inside: Counter = Counter()
+    best = lo = 0
+    for i in at:
+        inside[words[i]] += 1
+        while at[lo] <= i - size:
+            w = words[at[lo]]
+            inside[w] -= 1
+            if not inside[w]:
+                del inside[w]
+            lo += 1
+        best = max(best, len(inside))
+    return best
+
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     """Where `phrase` stands consecutively."""
@@ -105,7 +137,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     """A row for each row of `docs`: words, places of base phrases, labels of phrases and of templates, and a score, which is
     the largest containment of a template that reaches the threshold, or 1 with a base phrase, else 0.
 
-    A block is a line; a template also counts if a whole text of one block holds it. Null texts count as empty: no words,
+    A block is a line, or a run of as many words as the template has, wherever lines end: wrapped notices count. The oracle
+    SQL knows lines only and so agrees where no notice is wrapped. Null texts count as empty: no words,
     no places, null first and last words, empty labels, score 0. Null ids stay; repeated rows give repeated rows; an empty
     table gives an empty one. Two passes over the texts, no shuffle of rows.
     """
@@ -127,11 +160,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
                         at += found
                         base.add(label)
                         score = 1.0
-                if not held.isdisjoint(matcher.prefix):
-                    for line in low.split(b"\n"):
-                        for label, share in matcher.block(set(_WORDS(line))):
-                            more.add(label)
-                            score = max(score, share)
+                for label, share in matcher.text(low, words, held):
+                    more.add(label)
+                    score = max(score, share)
                 rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]

@@ -280,6 +280,29 @@ def test_filters_lose_no_block():
         assert set(m.block(block)) == expected
 
 
+def test_wrapped_notices_are_found(spark):
+    wrapped = [
+        ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
+        ("bsd", " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:"),
+        ("mpl-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this"),
+    ]
+    filler = "some words of a page\n" * 50
+    docs = [(i, filler + t + "\n" + filler, "", "", "", "") for i, (_, t) in enumerate(wrapped)]
+    scattered = "\n".join(w + " and some other words that stand between" for w in op8_licenses.TEMPLATES["mpl-2.0"].split())
+    out = {r.doc_id: r for r in op8_licenses.scan(spark.createDataFrame([*docs, (9, scattered, "", "", "", "")], DOC)).collect()}
+    assert [(out[i].labels, out[i].score) for i in range(3)] == [(label, 1.0) for label, _ in wrapped]
+    assert (out[9].labels, out[9].score) == ("", 0.0)
+
+
+def test_runs_of_words_are_those_of_brute_force():
+    r = random.Random(8)
+    for _ in range(500):
+        words = [b"%d" % r.randint(0, 15) for _ in range(r.randint(0, 40))]
+        template, size = frozenset(b"%d" % x for x in r.sample(range(16), 5)), r.randint(1, 12)
+        expected = max((len(template.intersection(words[i : i + size])) for i in range(len(words))), default=0)
+        assert op8_licenses.most_in_run(words, template, size) == expected
+
+
 # 9: near duplicates
 
 
