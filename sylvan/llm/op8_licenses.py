@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,17 @@ TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A block, which is a line or a run of words as long as the template, holds a template if at least this share of the
+#: The phrases, in words of the template, that tell a license from others of nearly the same wording. A run of
+#: words holds a template only with all of them.
+TELLING = {
+    "apache-2.0": ("apache license", "2 0"),
+    "cc-by-nc-4.0": ("cc by nc 4 0",),
+    "cc-by-sa-4.0": ("cc by sa 4 0",),
+    "gpl-3.0": ("gnu general public license", "3"),
+    "mit-notice": ("mit",),
+    "mpl-2.0": ("mozilla public license", "2 0"),
+}
+#: A block, which is a run of words as long as the template or (see `scan`) a line, holds a template if at least this share of the
 #: template's distinct words is in it.
 CONTAINMENT = 0.8
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -66,8 +77,9 @@ class Matcher:
     most size - i words to share (positional filter). What passes is verified on the whole sets.
     """
 
-    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float, telling: dict[str, tuple[str, ...]] | None = None):
         self.templates, self.by_word, self.runs = [], {}, {}
+        self.telling = {label: [p.encode().split() for p in phrases] for label, phrases in (telling or {}).items()}
         for label, text in sorted(templates.items()):
             self.runs[label] = len(words_of(text.encode()))
             words = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
@@ -90,22 +102,26 @@ class Matcher:
                 found.append((label, n / len(template)))
         return found
 
-    def text(self, low: bytes, words: list[bytes], held: set[bytes]) -> list[tuple[str, float]]:
-        """Templates in the lines of a text in lower case and in its runs of words, which pass over line ends. No block holds
-        more than the whole text does, so the filters are tried on that first."""
+    def text(self, low: bytes, words: list[bytes], held: set[bytes], lines: bool) -> list[tuple[str, float]]:
+        """Templates in the runs of words of a text in lower case, which pass over line ends, and in its `lines`, where any
+        words count. No block holds more than the whole text does, so the filters are tried on that first."""
         whole = self.block(held)
         if not whole:
             return []
-        found = [x for line in low.split(b"\n") for x in self.block(set(_WORDS(line)))]
+        found = [x for line in low.split(b"\n") for x in self.block(set(_WORDS(line)))] if lines else []
         likely = {label for label, _ in whole}
         for label, template, need in self.templates:
-            if label in likely and (n := most_in_run(words, template, self.runs[label])) >= need:
+            if label in likely and (n := most_in_run(words, template, self.runs[label], self.telling.get(label, ()))) >= need:
                 found.append((label, n / len(template)))
         return found
 
 
-def most_in_run(words: list[bytes], template: frozenset[bytes], size: int) -> int:
-    """The most distinct words of `template` in any `size` consecutive words. Runs that end with such a word are enough."""
+def most_in_run(words: list[bytes], template: frozenset[bytes], size: int, telling: Sequence[list[bytes]] = ()) -> int:
+    """The most distinct words of `template` in any `size` consecutive words that hold all phrases of `telling`, whose words
+    are the template's. Runs that end with a word of the template are enough."""
+    spots = [(places(words, p), len(p)) for p in telling]
+    if not all(starts for starts, _ in spots):
+        return 0
     at = [i for i, w in enumerate(words) if w in template]
     inside: Counter = Counter()
     best = lo = 0
@@ -117,7 +133,8 @@ def most_in_run(words: list[bytes], template: frozenset[bytes], size: int) -> in
             if not inside[w]:
                 del inside[w]
             lo += 1
-        best = max(best, len(inside))
+        if len(inside) > best and all((k := bisect_right(starts, i + 1 - n)) and starts[k - 1] > i - size for starts, n in spots):
+            best = len(inside)
     return best
 
 
@@ -133,12 +150,13 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
             at.append(i)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = CONTAINMENT, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = CONTAINMENT, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text", telling: dict[str, tuple[str, ...]] = TELLING, any_in_lines: bool = False) -> DataFrame:
     """A row for each row of `docs`: words, places of base phrases, labels of phrases and of templates, and a score, which is
     the largest containment of a template that reaches the threshold, or 1 with a base phrase, else 0.
 
-    A block is a line, or a run of as many words as the template has, wherever lines end: wrapped notices count. The oracle
-    SQL knows lines only and so agrees where no notice is wrapped. Null texts count as empty: no words,
+    A block is a run of as many words as the template has, wherever lines end: wrapped notices count. It must hold the phrases
+    of `telling` too. With `any_in_lines` lines of any length are blocks as well, without those phrases, as in the oracle SQL:
+    there NC is also labelled SA. Null texts count as empty: no words,
     no places, null first and last words, empty labels, score 0. Null ids stay; repeated rows give repeated rows; an empty
     table gives an empty one. Two passes over the texts, no shuffle of rows.
     """
@@ -147,7 +165,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     split = [(p.encode().split(), label) for p, label in phrases.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, frequency, threshold)
+        matcher = Matcher(templates, frequency, threshold, telling)
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -160,7 +178,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
                         at += found
                         base.add(label)
                         score = 1.0
-                for label, share in matcher.text(low, words, held):
+                for label, share in matcher.text(low, words, held, any_in_lines):
                     more.add(label)
                     score = max(score, share)
                 rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score))
@@ -172,7 +190,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents"))
+    return scan(common.table(spark, sf_dir, "documents"), any_in_lines=True)
 
 
 def _sql() -> str:

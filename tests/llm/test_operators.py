@@ -294,6 +294,27 @@ def test_wrapped_notices_are_found(spark):
     assert (out[9].labels, out[9].score) == ("", 0.0)
 
 
+def test_licenses_of_like_wording_are_told_apart(spark):
+    texts = {
+        "Licensed under CC BY-NC 4.0.": ("cc-by", "cc-by-nc-4.0"),
+        "Licensed under\nCC BY-SA 4.0.": ("cc-by", "cc-by-sa-4.0"),
+        "Licensed under CC BY 4.0.": ("cc-by",),
+        "Licensed under CC BY-NC-SA 4.0.": ("cc-by",),
+        "Licensed under CC BY-NC 3.0.": ("cc-by",),
+        "Released under the Apache License, Version 2.0.": ("apache", "apache-2.0"),
+        "Released under the MIT License.": ("mit", "mit-notice"),
+        "This work is licensed under the GNU General Public License, version 2.": ("gpl",),
+        " and ".join(["the old mit on a hill was released", *["words"] * 40, "under this license"]): (),
+    }
+    docs = spark.createDataFrame([(i, t, "", "", "", "") for i, t in enumerate(texts)], DOC)
+    out = {r.doc_id: r.labels for r in op8_licenses.scan(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == [",".join(x) for x in texts.values()]
+    assert all(set(p.split()) <= {w.decode() for w in op8_licenses.words_of(op8_licenses.TEMPLATES[k].encode())} for k, ps in op8_licenses.TELLING.items() for p in ps)
+    # wrapped, the query tells them apart too; in one line it follows its SQL
+    query = {r.doc_id: r.labels for r in op8_licenses.scan(docs, any_in_lines=True).collect()}
+    assert query[1] == "cc-by,cc-by-sa-4.0"
+
+
 def test_runs_of_words_are_those_of_brute_force():
     r = random.Random(8)
     for _ in range(500):
@@ -301,6 +322,9 @@ def test_runs_of_words_are_those_of_brute_force():
         template, size = frozenset(b"%d" % x for x in r.sample(range(16), 5)), r.randint(1, 12)
         expected = max((len(template.intersection(words[i : i + size])) for i in range(len(words))), default=0)
         assert op8_licenses.most_in_run(words, template, size) == expected
+        telling = [r.sample(sorted(template), r.randint(1, 2)) for _ in range(r.randint(1, 2))]
+        runs = [words[i : i + size] for i in range(len(words)) if all(op8_licenses.places(words[i : i + size], p) for p in telling)]
+        assert op8_licenses.most_in_run(words, template, size, telling) == max((len(template.intersection(x)) for x in runs), default=0)
 
 
 # 9: near duplicates
