@@ -12,8 +12,9 @@ non-empty segments than that has one in common with every partner. All segments
    are no more than its possible differences: only pairs of two deficient documents in an unsettled group can be missing.
    Those are compared in blocks, by an inverted index, wherever their components differ.
 
-The cost-based part: hot signatures cost pairs only for documents that have nothing better. One-deletion neighbourhoods serve
-documents whose segments are too few (short ones): their signatures are joined by those of the set less one shingle.
+Hot signatures cost pairs only for documents that have nothing better; there is no cost-based allocation of thresholds to
+segments. One-deletion neighbourhoods serve documents whose segments are too few (short ones), as whole sets and not by
+segment: their signatures are joined by those of the set less one shingle.
 """
 
 from __future__ import annotations
