@@ -17,15 +17,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of the smallest id stays; of rows with that id, one. Rows without id stay."""
-    groups = common.written(op9_jaccard.join(docs), "groups")
+    """Of each component the document of the smallest id stays; of rows with that id, one of the component. Rows without id or
+    without words stay."""
+    groups = common.written(op9_jaccard.labelled(docs), "groups")
     gone = common.written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "duplicates")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = common.written(groups.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    counts = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("most"))
+    again = common.written(counts.where("n > 1 and most > 0").select("doc_id"), "repeated")
     if not again.limit(1).count():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+    # an id may stand on texts of several components: its rows are told apart by the keys of their texts
+    stay = groups.where(F.col("key").isNotNull() & (F.col("doc_id") == F.col("component_id"))).join(again, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("key").alias("_near_key"))
+    rows = op9_jaccard.keyed(docs.join(again, "doc_id", "left_semi").select(*docs.columns), "_near_key")
+    once = rows.join(stay, ["doc_id", "_near_key"]).dropDuplicates(["doc_id", "_near_key"]).select(*docs.columns)
+    wordless = rows.where(F.col("_near_key").isNull()).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once).union(wordless)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

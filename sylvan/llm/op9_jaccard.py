@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sylvan.llm import common, graph
 from sylvan.llm import shingles as sh
@@ -99,6 +100,12 @@ def needs(n: int, role: int) -> int:
     return most_differences(n, 4 * n // 3 if role == 0 else (1 << band_of(n)) - 1) + 1
 
 
+def _digest(s: np.ndarray) -> tuple[bytes, int]:
+    """What stands for a set, and the 64 bits of it that are the set's key."""
+    digest = xxhash.xxh3_128_digest(s.tobytes())
+    return digest, int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _map(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +118,7 @@ def _map(buckets: int):
                 if not len(s) or doc_id is None:
                     docs.append((doc_id, 0, len(s), 0, 0, None))
                     continue
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                key = int.from_bytes(digest[:8], "big", signed=True)
+                digest, key = _digest(s)
                 if digest not in seen:
                     x = Indexed(s)
                     seen[digest] = len(keys)
@@ -202,25 +208,31 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) for the ids in `wanted`: their texts are fetched by a join and shingled again."""
+    """(key, set) for the ids in `wanted`: their texts are fetched by a join and shingled again. Every text of an id counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [sh.shingle_set(t).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            keys = [_digest(s)[1] for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "set"])
 
     ids = common.written(wanted.select(F.col("id").alias("doc_id")), "op9-wanted")
     # a list of bounded size goes to the texts; a longer one meets them in a shuffle
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    return texts.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    return texts.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets link."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    """The pairs (a, b) of keys whose whole sets link, as nodes."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
     common_size = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - common_size
-    return both.where((100 * common_size >= 75 * union) & (common_size > 0)).select("a", "b")
+    return both.where((100 * common_size >= 75 * union) & (common_size > 0)).select(_node("a_id", "a").alias("a"), _node("b_id", "b").alias("b"))
+
+
+def _node(doc_id: str, key: str):
+    """A class of equal sets as a node: by the smallest of its ids first, so that a component's root holds its smallest id."""
+    return F.struct(F.col(doc_id).alias("id"), F.col(key).alias("key"))
 
 
 def _cross(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -231,16 +243,16 @@ def _cross(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         flat, owner = np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        sizes, comp, ids = np.array([len(s) for s in x]), left["comp"].to_numpy(), left["id"].to_numpy()
-        for y, c, i in zip(right["set"], right["comp"], right["id"], strict=True):
+        sizes, comp, ids, keys = np.array([len(s) for s in x]), left["comp"].to_numpy(), left["id"].to_numpy(), left["key"].to_numpy()
+        for y, c, i, k in zip(right["set"], right["comp"], right["id"], right["key"], strict=True):
             y = np.asarray(y, np.int64)
             lo, hi = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
             if 4 * np.count_nonzero(hi > lo) < 3 * len(y):  # most of a set must occur in a partner
                 continue
             hits = np.bincount(np.concatenate([owner[p:q] for p, q in zip(lo, hi, strict=True) if q > p]), minlength=len(x))
             good = (100 * hits >= 75 * (sizes + len(y) - hits)) & (comp != c)
-            out += [(int(j), int(i)) for j in ids[good]]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            out += [(int(j), int(h), int(i), int(k)) for j, h in zip(ids[good], keys[good], strict=True)]
+    return pd.DataFrame(out, columns=["a_id", "a", "b_id", "b"]).astype("int64")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,9 +260,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Words are lower-cased (A-Z) runs between ASCII white space; shingles are five words, or all words of a shorter text.
     Texts without words, and null texts, have no shingles, link with nothing and are their own component. Rows with a null id
-    link with nothing and have a null component. Rows that repeat an id are linked as copies where their texts are, and each
-    gets a row; an empty table gives an empty one. Shingles are compared by 64-bit hashes.
+    link with nothing and have a null component. Rows that repeat an id are linked where their texts are, and each gets a row
+    with the component of its own text; an empty table gives an empty one. Shingles are compared by 64-bit hashes.
     """
+    return labelled(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`join` with the key of each row's set and its component's root key, both null where a row links with nothing by rule:
+    where an id repeats with other texts, these tell its rows and components apart."""
     spark = common.tune(docs.sparkSession)
     texts = common.doc_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
     size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -280,38 +298,52 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     low = band(F.least("a_n", "b_n"))
     of = lambda x, what: F.when(band(F.col(f"{x}_n")) == low, F.col(f"{x}_{what}0")).otherwise(F.col(f"{x}_{what}1"))
     demand = F.greatest(of("a", "k"), of("b", "k")) - F.floor((F.col("a_n") + F.col("b_n")) / 7) - F.least(of("a", "h"), of("b", "h"))
-    likely = common.written(j.where((F.col("shared") >= demand) & (F.col("a_id") != F.col("b_id"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "op9-pairs")
+    likely = common.written(j.where(F.col("shared") >= demand).select("a", "b", "a_id", "b_id"), "op9-pairs")
 
     doubtful = nodes.where(~_complete("h0", "h1"))
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).union(doubtful.select("id")).distinct()
+    wanted = likely.select(F.col("a_id").alias("id")).union(likely.select("b_id")).union(doubtful.select("id")).distinct()
     sets = common.written(_sets(texts, wanted), "op9-sets")
     edges = common.written(_verified(likely, sets), "op9-edges")
     labels = graph.components(edges)
 
-    placed = doubtful.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "k0", "k1", "h0", "h1", F.coalesce("root", "id").alias("comp"))
-    every = nodes.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("comp"))
+    roots = labels.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
+    placed = doubtful.join(roots, "key", "left").select("key", "id", "n", "k0", "k1", "h0", "h1", F.coalesce("root", "key").alias("comp"))
+    every = nodes.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("comp"))
     open_sigs = hot.join(every, "key").groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     unsettled = hot.join(open_sigs, "sig").groupBy("key").agg(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("u0"), F.sum(F.when(F.col("role") == 1, 1).otherwise(0)).alias("u1"))
     d = placed.join(unsettled, "key", "left").na.fill(0, ["u0", "u1"])
-    deficient = common.written(d.where(~_complete("u0", "u1")).select("id", "comp"), "op9-deficient")
+    deficient = common.written(d.where(~_complete("u0", "u1")).select("id", "key", "comp"), "op9-deficient")
     n = deficient.count()
     if n > 1 and deficient.select("comp").distinct().limit(2).count() > 1:
         blocks = math.ceil(n / BLOCK)
-        own = deficient.join(sets, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        to = lambda lo, hi, x, y: own.withColumn("other", F.explode(F.sequence(lo, hi))).select(*[F.col(c).alias(c) for c in ("id", "comp", "set")], F.col(x).alias("i"), F.col(y).alias("j"))
+        own = deficient.join(sets, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+        to = lambda lo, hi, x, y: own.withColumn("other", F.explode(F.sequence(lo, hi))).select(*[F.col(c).alias(c) for c in ("id", "key", "comp", "set")], F.col(x).alias("i"), F.col(y).alias("j"))
         left, right = to(F.col("own"), F.lit(blocks - 1), "own", "other"), to(F.lit(0), F.col("own"), "other", "own")
-        more = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_cross, "a long, b long")
+        more = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_cross, "a_id long, a long, b_id long, b long")
         more = common.written(more, "op9-more")
         if more.limit(1).count():
-            labels = graph.components(edges.union(more))
+            labels = graph.components(edges.union(more.select(_node("a_id", "a"), _node("b_id", "b"))))
         common.discard(more)
     common.discard(nodes, likely, sets, edges, deficient)
     for kind in (PAIR, HOT):
         common.delete(spark, f"{found._stored_at}/kind={kind}")
 
-    named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    ends = labels.select(F.col("node.key").alias("key"), F.col("root.id").alias("low"), F.col("root.key").alias("root"))
+    named = classes.join(ends, "key", "left").select("digest", F.coalesce("low", "id").alias("component_id"), F.coalesce("root", "key").alias("root"), F.col("key").alias("own"))
     out = rows.join(named, "digest", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("own").alias("key"), "root")
+
+
+def keyed(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """`docs` with the key of each text's set as column `name`, null where a text has no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [sh.shingle_set((t or "").encode()) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            keys = [_digest(s)[1] if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def _needs(role: int):

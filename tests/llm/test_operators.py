@@ -385,6 +385,22 @@ def test_components_are_those_of_brute_force(spark):
     assert op9_jaccard.join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [op9_jaccard.SMALL, 2])
+def test_texts_of_one_id_are_linked_each_by_itself(spark, monkeypatch, small):
+    monkeypatch.setattr(op9_jaccard, "SMALL", small)
+    r = random.Random(12)
+    docs, expected = [], {}
+    for k in range(20):  # id k has two texts; both have a near copy, one of a smaller id and one of a larger
+        a, b = ([f"{x}{k}w{r.randint(0, 5000)}" for _ in range(60)] for x in "ab")
+        for i, w, c in [(1000 + k, a, k), (k, a + ["tail"], k), (1000 + k, b, 1000 + k), (2000 + k, b + ["tail"], 1000 + k)]:
+            docs.append((i, " ".join(w)))
+            expected[i, len(w) - 4] = expected.get((i, len(w) - 4), []) + [c]
+    out = defaultdict(list)
+    for x in op9_jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect():
+        out[x.doc_id, x.n_shingles].append(x.component_id)
+    assert {k: sorted(v) for k, v in out.items()} == {k: sorted(v) for k, v in expected.items()}
+
+
 def test_the_last_comparison_alone_finds_hidden_links(spark, monkeypatch):
     monkeypatch.setattr(op9_jaccard, "SMALL", 2)
     monkeypatch.setattr(op9_jaccard, "BLOCK", 20)

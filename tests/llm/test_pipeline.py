@@ -68,3 +68,11 @@ def test_empty_documents(spark, corpus):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, corpus[0])
         assert docs.count() == 0
+
+
+def test_other_texts_of_an_id_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a + " tail"), (5, b), (5, b), (5, c), (9, b + " tail"), (5, ""), (7, d), (7, d + " tail"), (1, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = [(x.doc_id, (x.text or "").removesuffix(" tail")) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted([(1, a), (1, ""), (5, b), (5, c), (5, ""), (7, d)])
