@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sylvan.session import importable
 
@@ -25,13 +27,31 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, run, more: tuple[StructField, ...] = ()) -> DataFrame:
+    """df.mapInArrow for functions that give back the columns of `df`, whatever their names, with `more` after them. In the
+    function's batches the columns are named by number."""
+    plain = df.toDF(*[str(i) for i in range(len(df.columns))])
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(plain.columns, df.schema.fields, strict=True)] + list(more))
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *[f.name for f in more])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it; /tmp only where it is unset (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sylvan"
+    """The folder that the cluster shares, as spark.checkpoint.dir names it. Where it is unset, only a local master, whose
+    executors are this machine, may take /tmp."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "/tmp/checkpoints/sylvan"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(top)
     return top.rstrip("/")
@@ -62,6 +82,34 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: A key is hot if it has more than one in HOT_SHARE of a table's rows, so there are fewer hot keys than that; and no key of
+#: fewer than HOT_LEAST rows is.
+HOT_SHARE, HOT_LEAST = 1000, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, where `key` is unique in `right` and any one of its values may hold a large part of `left`.
+
+    The rows of hot keys stay where they are and meet their few partners by broadcast (fewer than HOT_SHARE rows of `right`);
+    all others meet theirs in a shuffle. `how` is inner or left; null keys have no partner. Reads `left` twice.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = left.count()
+    hot = written(counts.where(F.col("__n") > max(HOT_LEAST, total // HOT_SHARE)).select(key), "hot")
+    if not hot.limit(1).count():
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    cold = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return cold.unionByName(left.join(F.broadcast(hot), key, "left_semi").join(few, key, how))
+
+
+def input_bytes(texts: DataFrame) -> int:
+    """About how many bytes the rows (doc_id, text) hold: Spark's estimate, which follows file sizes, or a sum over all texts
+    where Spark knows nothing of the input and says it is over a hundred petabytes."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 10**17 else texts.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+
+
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id long, text string); null texts count as empty. Other columns, whatever their names, stay out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -68,7 +68,8 @@ def test_whole_tokens_are_proven_and_the_rest_is_merged():
 
 def test_memo_forgets_but_stays_right():
     memo = bpe.Recent(lambda k: k * 2, 10)
-    assert all(memo[k % 37] == 2 * (k % 37) for k in range(500)) and len(memo) + len(memo.older) <= 10
+    assert all(memo[str(k % 37)] == 2 * str(k % 37) for k in range(500)) and len(memo) + len(memo.older) <= 10
+    assert memo["x" * 65] == "x" * 130 and "x" * 65 not in memo
 
 
 def test_count_rows(spark):
@@ -335,17 +336,21 @@ def brute_components(docs):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
-    sets = [(d, grams(t)) for d, t in docs if d is not None]
-    comp = {d: d for d, _ in sets}
+    sets = [grams(t) for _, t in docs]
+    comp = [float("inf") if d is None else d for d, _ in docs]
     changed = True
-    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if x and y and 100 * len(x & y) >= 75 * len(x | y)]
     while changed:
         changed = False
         for a, b in links:
             low = min(comp[a], comp[b])
             changed |= comp[a] != low or comp[b] != low
             comp[a] = comp[b] = low
-    return {d: (len(s), comp[d]) for d, s in sets}
+    return sorted(((d, len(s), None if c == float("inf") else c) for (d, _), s, c in zip(docs, sets, comp, strict=True)), key=str)
+
+
+def rows_by_doc(out):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str)
 
 
 def near_docs():
@@ -371,15 +376,20 @@ def near_docs():
         docs.append(" ".join(w))
     docs += [" ".join(say(30) + passage + say(30)) for _ in range(60)] + [" ".join(passage + say(k)) for k in range(12)]
     docs += [" ".join(say(3)[:k]) for k in (1, 2, 3)] * 2 + ["a b c d e f g", "A b c d e f g", "a b c d e f", "a b c d e f g h", "a b c d e", "x " * 50, "x " * 60, "x", "", " "]
-    return list(enumerate(docs)) + [(900, None), (None, "a b c d e f g")]
+    # rows without id: a copy, a bridge between two texts that don't link, a pair by themselves
+    left, lone = say(60), say(50)
+    right = ["r"] * 0 + left[12:] + say(12)
+    docs += [" ".join(left), " ".join(right)]
+    none = ["a b c d e f g", " ".join(left[6:] + right[48:54]), " ".join(lone), " ".join(lone + ["tail"]), None, ""]
+    return list(enumerate(docs)) + [(900, None)] + [(None, t) for t in none]
 
 
 def test_components_are_those_of_brute_force(spark):
     docs = near_docs()
     df = spark.createDataFrame([(*x, "z", 1) for x in docs], "doc_id long, text string, digest string, n long")
     out = op9_jaccard.join(df).collect()
-    assert len(out) == len(docs) and [r.component_id for r in out if r.doc_id is None] == [None]
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == brute_components(docs)
+    assert rows_by_doc(out) == brute_components(docs)
+    assert sum(r.doc_id is None and r.component_id is not None for r in out) == 2
     twice = op9_jaccard.join(df.union(df)).collect()
     assert len(twice) == 2 * len(docs) and set(twice) == set(out)
     assert op9_jaccard.join(df.limit(0)).count() == 0
@@ -406,7 +416,17 @@ def test_the_last_comparison_alone_finds_hidden_links(spark, monkeypatch):
     monkeypatch.setattr(op9_jaccard, "BLOCK", 20)
     docs = near_docs()
     out = op9_jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == brute_components(docs)
+    assert rows_by_doc(out) == brute_components(docs)
+
+
+def test_unlike_texts_of_one_id_and_very_long_ones(spark):
+    r = random.Random(21)
+    say = lambda n: [f"u{r.randint(0, 9000)}" for _ in range(n)]
+    long, a, b = say(60_000), say(50), say(50)
+    docs = [(1, a), (1, b), (2, b + ["tail"]), (3, a + ["tail"]), (4, long), (5, long[:59_000] + say(500)), (None, long + say(40)), (6, say(30_000))]
+    docs = [(i, " ".join(w)) for i, w in docs] + [(7, "x" * 300_000), (7, "x" * 300_000)]
+    out = op9_jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert rows_by_doc(out) == brute_components(docs)
 
 
 def test_pigeonhole_holds_for_random_sets():
@@ -462,3 +482,41 @@ def test_a_larger_budget_keeps_all_of_a_smaller_one(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.pmod("id", F.lit(3)).cast("string").alias("source"))
     some, more = ({r.doc_id for r in op10_mix.mix(df, share=s).where("taken > 0").collect()} for s in (0.2, 0.4))
     assert some < more
+
+
+def test_mix_splits_rows_of_one_hash(spark):
+    """Repeated ids and rows, and null ids: each source comes within a document of its target."""
+    rows = [(1, "a b c", "one") for _ in range(100)] + [(None, f"n{i} b c d", "none") for i in range(100)] + [(None, None, "none"), (None, "", "none")]
+    rows += [(i % 7, f"x{i} y", "few") for i in range(500)] + [(5000 + i, "long " * (40_000 if i == 3 else 3), "rest") for i in range(200)]
+    df = spark.createDataFrame([(*x, 1, 2.0) for x in rows], "doc_id long, text string, source string, h long, `row.x` double").repartition(5)
+    out = op10_mix.mix(df).collect()
+    taken, target = defaultdict(int), {}
+    for x in out:
+        taken[x.source] += x.taken
+        target[x.source] = x.target
+        assert x.taken in (0, x.size, 2 * x.size, 3 * x.size)
+    assert len(out) == len(rows) and len(set(target.values())) > 1
+    assert all(abs(taken[s] - target[s]) <= (40_000 if s == "rest" else 4) for s in target)
+    assert abs(taken["one"] - target["one"]) <= 1.5
+    mixed = op10_mix.apply_mix(df)
+    assert mixed.columns == df.columns
+    words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(op10_mix.size_of(F.col("text"))).alias("n")).collect()}
+    assert words == {s: n for s, n in taken.items() if n}
+    assert sorted(out, key=str) == sorted(op10_mix.mix(df).collect(), key=str)
+
+
+def test_mix_of_repeated_rows_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame([(i % 3, "a b", "s") for i in range(50)] + [(None, "c " * (i % 4), None) for i in range(30)] + [(9, None, "t"), (9, "d", "t")], "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(op10_mix.query(spark, str(tmp_path))) == duck_rows(c, op10_mix.SQL)
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    left = spark.createDataFrame([(7, i) for i in range(3000)] + [(i % 50, i) for i in range(2000)] + [(None, 1)], "k long, x long")
+    right = spark.createDataFrame([(i, i * 10) for i in range(0, 50, 7)], "k long, y long")
+    for how in ("inner", "left"):
+        assert sorted(common.spread_join(left, right, "k", how).collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
