@@ -105,13 +105,18 @@ WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Recent(dict):
-    """A memo of `make(key)` that forgets the older half of its entries when it holds `most`; lookups are those of dict."""
+    """A memo of `make(key)` that forgets the older half of its entries when it holds `most`; lookups are those of dict. Keys
+    over LONGEST characters (runs of text without spaces) are not remembered, so `most` bounds its bytes too."""
+
+    LONGEST = 64
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)

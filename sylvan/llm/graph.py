@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         nearer = labels.select("node", "root").join(around, "node").select("node", F.least("root", "low").alias("next"), F.col("root").alias("was"))
         nearer = common.written(nearer, "labels")
-        jump = nearer.alias("x").join(nearer.select(F.col("node").alias("via"), F.col("next").alias("far")), F.col("next") == F.col("via"))
+        # members of a large cluster all have one next node
+        jump = common.spread_join(nearer, nearer.select(F.col("node").alias("next"), F.col("next").alias("far")), "next")
         fresh = common.written(jump.select("node", F.least("next", "far").alias("root"), "was"), "labels")
         common.discard(labels, nearer)
         labels = fresh

@@ -18,8 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]
     """(doc_id, text, y) for labelled rows outside the held-out fold, about `most` of them if there are more.
 
     fold (k, r): ids whose crc32 as text leaves r modulo k are held out. Which rows stay depends on their ids alone. Rows
-    without id or label don't count; of several labels for an id the smallest holds. Written to the shared folder, since
-    it is read more than once.
+    without id or label don't count; of several labels for an id the smallest holds. The labels that stay, whose number
+    `most` bounds, are broadcast: texts aren't shuffled. Written to the shared folder, since it is read more than once.
     """
     common.tune(docs.sparkSession)
     k, r = fold
@@ -28,7 +28,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return common.written(common.doc_text(docs).join(known, "doc_id"), "labelled")
+    return common.written(common.doc_text(docs).join(F.broadcast(known), "doc_id"), "labelled")
 
 
 def features(rows: DataFrame, names: tuple[str, ...], of: Callable[[list[str]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -90,7 +90,9 @@ class Ranker:
 
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     """Fits on at most about ROWS labelled rows outside the held-out fold; their features, not texts, go to the driver."""
-    _, x, y = labelled.features(labelled.sample(docs, labels, "quality", FOLD, ROWS), NAMES, features)
+    rows = labelled.sample(docs, labels, "quality", FOLD, ROWS)
+    _, x, y = labelled.features(rows, NAMES, features)
+    common.discard(rows)
     return Ranker(x, y)
 
 

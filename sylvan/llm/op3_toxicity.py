@@ -87,8 +87,8 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     if not n1 or not n0:
         return {}
     toxic = rows.where("y = 1").select("text").mapInArrow(count(None), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, SHARE * n1))
-    # the sample bounds this; the most frequent words come first, ties by word
-    seen = {r.w: r.n for r in toxic.orderBy(F.desc("n"), "w").limit(20 * LEXICON).collect()}
+    # each toxic row of the bounded sample can bring at most 1 / SHARE words this far, on average
+    seen = {r.w: r.n for r in toxic.collect()}
     others = rows.where("y = 0").select("text").mapInArrow(count(frozenset(seen)), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     clean = {r.w: r.n for r in others.collect()}
     ratio = {w: (n / n1) / ((clean.get(w, 0) + 0.5) / n0) for w, n in seen.items()}
@@ -191,7 +191,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most about ROWS labelled rows outside the held-out fold; their features, not texts, go to the driver."""
     rows = labelled.sample(docs, labels, "toxic", FOLD, ROWS)
     lexicon = learn_lexicon(rows)
-    return Model(lexicon, *labelled.features(rows, NAMES, lambda texts: features(texts, lexicon)))
+    model = Model(lexicon, *labelled.features(rows, NAMES, lambda texts: features(texts, lexicon)))
+    common.discard(rows)
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,17 +207,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that aren't predicted toxic. One pass: texts are scored beside the rows."""
+    """The rows of `docs`, with all their columns, that aren't predicted toxic. One pass: texts are scored beside the rows.
+
+    Null and empty texts score alike; null ids, repeated rows and rows of one id are judged each by its text; without labels
+    all rows stay; an empty table gives an empty one.
+    """
     common.tune(docs.sparkSession)
-    model = train(docs, labels)
+    model, at = train(docs, labels), docs.columns.index("text")
 
     def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
             keep = model.score(texts) < REJECT if texts else np.zeros(0, bool)
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(toxic, docs.schema)
+    return common.map_rows(docs, toxic)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

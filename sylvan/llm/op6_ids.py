@@ -19,7 +19,7 @@ from sylvan.llm import bpe, common
 MEMO = 300_000
 #: Rows of a row-index entry, and bytes of a stripe.
 ROW_INDEX, STRIPE = 1000, 16 << 20
-#: About so many bytes of Parquet go to one ORC file, and at least so many files are made.
+#: About so many bytes of Parquet go to one ORC file; there are as many files as shuffle partitions at least.
 FILE_BYTES = 32 << 20
 
 
@@ -77,8 +77,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
 
     Ids are int columns in ORC's integer run-length encoding; every stripe has a row index, and a Bloom filter on doc_id,
     so that readers prune stripes by metadata and take the others in parallel. Null texts are empty documents (just the
-    end id); null doc_ids come first; equal doc_ids stand together, by text; an empty table gives a table without rows.
-    The range shuffle moves texts, which are smaller than their ids.
+    end id); null doc_ids come first; equal doc_ids stand together, by a hash of their text and the text, and may fill
+    several files; an empty table gives a table without rows. The range shuffle moves texts, which are smaller than their
+    ids. `files` follows the bytes of `docs` unless it is given.
     """
     spark = common.tune(docs.sparkSession)
     merger = spark.sparkContext.broadcast(bpe.merger(tokenizer))  # as large as the vocabulary
@@ -90,8 +91,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
             yield _encoded(encoder, b, end)
 
     rows = common.doc_text(docs, id_col, text_col)
-    ranged = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
-    out = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(rows) // FILE_BYTES)
+    # a doc_id, or null, of a great many rows is split by the hash of their texts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    out = rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
     out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(ROW_INDEX)).option("orc.stripe.size", str(STRIPE)).option("orc.create.index", "true").option("compression", "snappy").orc(path)
 
 
