@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
 from sylvan.llm import common, graph
 from sylvan.llm import shingles as sh
@@ -39,6 +39,10 @@ SEGMENTS = 0.45
 SMALL, BLOCK = 24, 2000
 #: Sets of up to so many shingles differ in one at most from partners as large or larger; those have one shingle more at most.
 SHORT = 5
+#: Stands for a null id among nodes: larger than other ids, so no component is named by it that has another id.
+NO_ID = 2**63 - 1
+#: Most rows of a batch, whose numbers have 16 bits with a role's.
+ROWS = 16_384
 #: Most ids (of eight bytes) that are broadcast to fetch texts.
 BROADCAST_IDS = 2_000_000
 #: Input bytes for a bucket of signatures.
@@ -108,26 +112,26 @@ def _digest(s: np.ndarray) -> tuple[bytes, int]:
 
 def _map(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: dict[bytes, tuple[int, int, int]] = {}  # of equal sets in a task one is indexed
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = batch.column(0).to_pylist()
-            seen: dict[bytes, int] = {}
             docs, sigs, owner = [], [], []
             keys, sizes = [], []
             for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 s = sh.shingle_set(text)
-                if not len(s) or doc_id is None:
-                    docs.append((doc_id, 0, len(s), 0, 0, None))
+                if not len(s):
+                    docs.append((doc_id, 0, 0, 0, 0, None))
                     continue
                 digest, key = _digest(s)
                 if digest not in seen:
                     x = Indexed(s)
-                    seen[digest] = len(keys)
+                    seen[digest] = (len(s), *x.segments)
                     for role, g in x.by_role.items():
                         sigs.append(g)
                         owner.append(np.full(len(g), 2 * len(keys) + role, np.uint16))
                     keys.append(key)
-                    sizes.append((len(s), *x.segments))
-                n, k0, k1 = sizes[seen[digest]]
+                    sizes.append(len(s))
+                n, k0, k1 = seen[digest]
                 docs.append((doc_id, key, n, k0, k1, digest))
             out = [(-1, None, None, None, None, d) for d in docs]
             if sigs:
@@ -135,7 +139,7 @@ def _map(buckets: int):
                 bucket = ((sig >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 sig, own, bucket = sig[order], own[order], bucket[order]
-                nodes, counts = np.array(keys, np.int64), np.array([x[0] for x in sizes], np.uint32)
+                nodes, counts = np.array(keys, np.int64), np.array(sizes, np.uint32)
                 edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 for i, j in zip(edge, np.r_[edge[1:], len(bucket)], strict=True):
                     used, local = np.unique(own[i:j] >> 1, return_inverse=True)
@@ -200,15 +204,15 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     p = pd.DataFrame({"a": cat(a, np.int64), "b": cat(b, np.int64)})
     p = p.groupby(["a", "b"], sort=False).size().reset_index(name="n") if len(p) else p.assign(n=0)
-    # a signature's number within its bucket, made one of the whole
-    name = (cat(hot_sig, _U) << _U(16)).view(np.int64) ^ np.int64(pdf["bucket"].iloc[0])
-    h = pd.DataFrame({"a": name, "b": cat(hot_node, np.int64), "n": cat(hot_role, np.int8)})
-    out = pd.concat([p.assign(kind=PAIR), h.assign(kind=HOT)], ignore_index=True)
-    return out.assign(k0=0, k1=0, digest=None)[["kind", "a", "b", "n", "k0", "k1", "digest"]].astype({"kind": "int32", "a": "int64", "b": "int64", "n": "int32", "k0": "int32", "k1": "int32"})
+    # a signature is named by its number within its bucket, and that
+    h = pd.DataFrame({"a": cat(hot_sig, _U).view(np.int64), "b": cat(hot_node, np.int64), "n": cat(hot_role, np.int8)})
+    out = pd.concat([p.assign(kind=PAIR, k0=0), h.assign(kind=HOT, k0=int(pdf["bucket"].iloc[0]))], ignore_index=True)
+    return out.assign(k1=0, digest=None)[["kind", "a", "b", "n", "k0", "k1", "digest"]].astype({"kind": "int32", "a": "int64", "b": "int64", "n": "int32", "k0": "int32", "k1": "int32"})
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, set) for the ids in `wanted`: their texts are fetched by a join and shingled again. Every text of an id counts."""
+    """(key, set) for the ids in `wanted`: their texts are fetched by a join and shingled again. Every text of an id counts, and
+    with NO_ID every text without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,6 +223,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = common.written(wanted.select(F.col("id").alias("doc_id")), "op9-wanted")
     # a list of bounded size goes to the texts; a longer one meets them in a shuffle
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    if ids.where(F.col("doc_id") == NO_ID).limit(1).count():
+        texts = texts.unionByName(docs.where(F.col("doc_id").isNull()))
     return texts.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"])
 
 
@@ -260,19 +266,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Words are lower-cased (A-Z) runs between ASCII white space; shingles are five words, or all words of a shorter text.
     Texts without words, and null texts, have no shingles, link with nothing and are their own component. Rows with a null id
-    link with nothing and have a null component. Rows that repeat an id are linked where their texts are, and each gets a row
-    with the component of its own text; an empty table gives an empty one. Shingles are compared by 64-bit hashes.
+    link like others; component_id is null only where no id is reachable. Rows that repeat an id are linked where their texts
+    are, and each gets a row with the component of its own text; an empty table gives an empty one. Shingles are compared by
+    64-bit hashes.
     """
     return labelled(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`join` with the key of each row's set and its component's root key, both null where a row links with nothing by rule:
-    where an id repeats with other texts, these tell its rows and components apart."""
+    where ids are null or repeat with other texts, these tell rows and components apart. The root key is that of a set of the
+    component's smallest id."""
     spark = common.tune(docs.sparkSession)
     texts = common.doc_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(65_536, size // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(texts) // BUCKET_BYTES)
     packed = texts.mapInArrow(_map(buckets), _PACKED)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -285,9 +292,9 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("doc.a"), F.lit(buckets)).cast("int"))
     found = common.written(packed.withColumn("bucket", spread).groupBy("bucket").applyInPandas(reduce, _FOUND), "op9-found", ("kind",))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n", "k0", "k1", "digest")
-    classes = common.written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("key").alias("key"), F.min("n").alias("n"), F.min("k0").alias("k0"), F.min("k1").alias("k1")), "op9-classes")
+    classes = common.written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.min("key").alias("key"), F.min("n").alias("n"), F.min("k0").alias("k0"), F.min("k1").alias("k1")), "op9-classes")
 
-    hot = found.where(F.col("kind") == HOT).select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("role"))
+    hot = found.where(F.col("kind") == HOT).select(F.struct("k0", "a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("role"))
     heat = hot.groupBy("key").agg(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("h0"), F.sum(F.when(F.col("role") == 1, 1).otherwise(0)).alias("h1"))
     nodes = common.written(classes.join(heat, "key", "left").na.fill(0, ["h0", "h1"]), "op9-nodes")
 
@@ -329,21 +336,24 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         common.delete(spark, f"{found._stored_at}/kind={kind}")
 
     ends = labels.select(F.col("node.key").alias("key"), F.col("root.id").alias("low"), F.col("root.key").alias("root"))
-    named = classes.join(ends, "key", "left").select("digest", F.coalesce("low", "id").alias("component_id"), F.coalesce("root", "key").alias("root"), F.col("key").alias("own"))
-    out = rows.join(named, "digest", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("own").alias("key"), "root")
+    low = F.coalesce("low", "id")
+    named = classes.join(ends, "key", "left").select("digest", F.when(low != NO_ID, low).alias("component_id"), F.coalesce("root", "key").alias("root"), F.col("key").alias("own"))
+    out = common.spread_join(rows, named, "digest", "left")
+    component = F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("own").alias("key"), "root")
 
 
 def keyed(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     """`docs` with the key of each text's set as column `name`, null where a text has no words."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [sh.shingle_set((t or "").encode()) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            sets = [sh.shingle_set((t or "").encode()) for t in b.column(at).to_pylist()]
             keys = [_digest(s)[1] if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return common.map_rows(docs, run, (StructField(name, LongType()),))
 
 
 def _needs(role: int):
