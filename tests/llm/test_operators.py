@@ -184,26 +184,26 @@ def test_awkward_vectors(spark):
 
 def brute_leaks(docs, items):
     """Every window of every item's size, by exact weighted similarity."""
-    def grams(w):
-        return [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    def grams(w, width):
+        return [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
 
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    width = lambda w: min(5, len(w))
     df = defaultdict(int)
     for _, t in items:
-        for g in set(grams(words(t))):
+        for g in set(grams(x := words(t), width(x))) if words(t) else ():
             df[g] += 1
     w = lambda s: sum(1 + np.log(len(items) / df[g]) if g in df else 1 + np.log(len(items) + 1) for g in s)
     out = set()
     for d, t in docs:
         have = words(t)
         for k, item in items:
-            n = len(words(item))
-            if n < 5 and n != len(have):  # shorter than a shingle: only whole texts match
-                continue
-            a = set(grams(words(item)))
+            whole = words(item)
+            n = len(whole)
+            a = set(grams(whole, width(whole))) if n else set()
             for s in range(max(1, len(have) - n + 1)) if n and have else ():
-                b = set(grams(have[s : s + n]))
-                if a & b and w(a & b) / w(a | b) >= 0.75:
+                b = set(grams(have[s : s + n], width(whole)))
+                if a & b and w(a & b) / w(a | b) >= 0.75 - 1e-9:
                     out.add((d, k))
     return out
 
@@ -212,7 +212,8 @@ def test_leaks_are_those_of_brute_force(spark):
     r = random.Random(2)
     vocab = [f"w{i}" for i in range(300)]
     say = lambda n: [r.choice(vocab) for _ in range(n)]
-    items = [(i, " ".join(say(r.randint(3, 40)))) for i in range(25)] + [(90, None), (91, ""), (92, "Short one")]
+    items = [(i, " ".join(say(r.randint(1, 40)))) for i in range(25)] + [(90, None), (91, ""), (92, "Short one"), (93, "w1 w1 w1 w1 w1 w1 w1 w1"), (94, "short item")]
+    items += [(95 + i, "the same long question text stands before every answer of this set so that most of it is shared by all " + " ".join(say(4))) for i in range(4)]
     docs = []
     for i in range(120):
         w = say(r.randint(0, 120))
@@ -222,7 +223,7 @@ def test_leaks_are_those_of_brute_force(spark):
                 item[r.randrange(len(item))] = "changed" if i % 3 else item[0]
             w[len(w) // 2 : len(w) // 2] = [x.upper() + ("," if i % 4 else "") for x in item]
         docs.append((i, " ".join(w)))
-    docs += [(500, None), (501, ""), (502, "short ONE!"), (503, items[0][1]), (503, items[0][1]), (None, items[1][1])]
+    docs += [(500, None), (501, ""), (502, "short ONE!"), (503, items[0][1]), (503, items[0][1]), (None, items[1][1]), (504, "well now the short item is here"), (505, "w1 " * 30), (506, items[-1][1])]
     d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
     found = op5_leaks.find_leaks(d, b).collect()
@@ -230,19 +231,64 @@ def test_leaks_are_those_of_brute_force(spark):
     assert {(x.doc_id, x.item_id) for x in found} == expected and len(expected) > 10
     assert {x.doc_id for x in op5_leaks.without_leaks(d, b).collect()} == {x for x, _ in docs} - {x for x, _ in expected}
     assert op5_leaks.find_leaks(d.limit(0), b).count() == 0 and op5_leaks.find_leaks(d, b.limit(0)).count() == 0
-    chunked = [op5_leaks.Items.matches(c, docs[-1][1].encode()) for c in op5_leaks.chunks(b, 200)]
-    assert len(chunked) > 1 and any(m and m[0][0] == 1 for m in chunked)
+    chunked = [m for c in op5_leaks.chunks(b, 200) for m in c.matches(items[1][1].encode())]
+    assert 1 in {m[0] for m in chunked} and len(list(op5_leaks.chunks(b, 200))) > 1
 
 
-def test_all_fingerprints_within_the_radius_are_found():
+def packed_items(texts):
+    hs = [np.unique(op5_leaks.shingled(t.encode())[0]) for t in texts]
+    return op5_leaks.Items([(i, t.encode(), h, np.ones(len(h), np.int64)) for i, (t, h) in enumerate(zip(texts, hs, strict=True))], len(texts))
+
+
+@pytest.mark.parametrize("groups", [1, 4])
+def test_all_fingerprints_within_the_radius_are_found(groups):
     r = random.Random(4)
-    items = op5_leaks.Items([(i, " ".join(r.choice("abcdefghij") * 3 + str(r.randint(0, 50)) for _ in range(20)).encode()) for i in range(60)], {}, 60)
+    items = packed_items([" ".join(r.choice("abcdefghij") * 3 + str(r.randint(0, 50)) for _ in range(20 + i % 2)) for i in range(60)])
+    if groups > 1:
+        items.ids = [*items.ids] * (groups << 12)
+        items._list()
+        items.ids = items.ids[:60]
+        assert items.groups == groups or items.groups == 16
+    prints = []
     for _ in range(300):
-        f = int(items.prints[r.randrange(60)])
-        for b in r.sample(range(64), r.randint(0, 40)):
-            f ^= 1 << b
-        near = {(k, (f ^ int(p)).bit_count()) for k, p in enumerate(items.prints) if (f ^ int(p)).bit_count() <= op5_leaks.RADIUS}
-        assert set(items.within(20, np.uint64(f))) == near
+        f = items.prints[r.randrange(60)].copy()
+        for b in r.sample(range(128), r.randint(0, 60)):
+            f[b // 64] ^= np.uint64(1 << b % 64)
+        prints.append(f)
+    prints = np.array(prints)
+    near = {(i, k, d) for i, f in enumerate(prints) for k, d in enumerate(op5_leaks.distances(f, items.prints).tolist()) if d <= op5_leaks.RADIUS and items.words[k] == 20}
+    assert {tuple(x) for x in zip(*(y.tolist() for y in items.within(np.full(len(prints), 20), prints)), strict=True)} == near and len(near) > 50
+
+
+def test_blocks_pass_few_items():
+    r = np.random.default_rng(5)
+    items = packed_items([" ".join(f"w{x}" for x in r.integers(0, 10**6, 20)) for _ in range(400)])
+    _, item = items.candidates(np.full(200, 20), r.integers(0, 2**63, (200, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    assert len(item) / (200 * 400) < 0.05
+
+
+def test_very_long_texts_are_searched_whole():
+    r = random.Random(17)
+    whole = [" ".join(f"q{r.randint(0, 10**6)}" for _ in range(n)) for n in (30, 30, 45, 2, 6000)]
+    items, filler = packed_items(whole), " ".join(f"z{r.randint(0, 10**6)}" for _ in range(200_000))
+    assert not items.matches(filler.encode())
+    text = " ".join([filler, whole[1], whole[3], filler, whole[4], "tail"])
+    assert [(k, s) for k, s, *_ in items.matches(text.encode())] == [(1, 200_000), (3, 200_030), (4, 400_032)]
+
+
+def test_recall_at_the_threshold():
+    """Items whose similarity with what a text holds lies over 0.75 and under 0.8 (words in no item weigh a little more)."""
+    r = random.Random(11)
+    say = lambda n: [f"q{r.randint(0, 10**6)}" for _ in range(n)]
+    whole = [say(r.randint(30, 60)) for _ in range(150)]
+    items, seen, hit = packed_items([" ".join(w) for w in whole]), 0, 0
+    for i, w in enumerate(whole):
+        cut = next(c for c in range(1, 20) if (len(w) - 4 - c) / (len(w) - 4 + c) < 0.8)
+        sim = (len(w) - 4 - cut) / (len(w) - 4 + cut)
+        if sim > 0.7501:
+            text = " ".join(say(50) + w[:-cut] + say(50 + cut))
+            seen, hit = seen + 1, hit + (i in {m[0] for m in items.matches(text.encode())})
+    assert seen > 100 and hit / seen >= 0.97
 
 
 # 7: lists
