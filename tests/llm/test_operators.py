@@ -179,6 +179,53 @@ def test_awkward_vectors(spark):
     assert op4_neighbours.nearest(df.limit(0)).count() == 0
 
 
+def brute_neighbours(rows, every, k):
+    first = {}
+    for i, v in rows:
+        first[i] = min(first.get(i, v), v)
+    x = {i: np.array(v, float) for i, v in first.items()}
+    return {(q, n + 1, i) for q in x if q % every == 0 for n, (_, i) in enumerate(sorted((-float((x[q] * x[i]).sum()), i) for i in x if i != q)[:k])}
+
+
+def test_slices_and_blocks_lose_nothing(spark):
+    """Going up to the roots gives the exact answer, over several slices, copies that fill some of them and blocks of queries."""
+    r = np.random.default_rng(2)
+    some = [[float(np.float32(a)) for a in v] for v in r.normal(size=(260, 6))]
+    near = [[float(np.float32(a)) for a in np.array(some[0]) * (1 + 1e-4 * j)] for j in range(120)]  # one hash string
+    rows = list(enumerate(some + [some[1]] * 150 + near))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    out = op4_neighbours.nearest(df, every=3, k=7, trees=3, share=3.0, slice_rows=40, block_queries=25).collect()
+    assert {(x.query_id, x["rank"], x.vec_id) for x in out} == brute_neighbours(rows, 3, 7)
+
+
+def test_recall_over_many_slices_and_the_share_that_is_gathered(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(60, 48))
+    for name, v, share, most in (("clustered", centres[r.integers(0, 60, 6000)] + 0.35 * r.normal(size=(6000, 48)), 0.08, 0.15), ("random", r.normal(size=(6000, 48)), op4_neighbours.SHARE, 2.3)):
+        v = v / np.linalg.norm(v, axis=1)[:, None]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        out, levels = op4_neighbours._search(df, every=40, share=share, slice_rows=700)
+        got = {(x.query_id, x["rank"], x.vec_id) for x in out.collect()}
+        true = {(q, i) for q in range(0, 6000, 40) for i in np.argsort(-np.where(np.arange(6000) == q, -9, v @ v[q]), kind="stable")[:20].tolist()}
+        recall = len(true & {(q, i) for q, _, i in got}) / len(true)
+        gathered = np.mean([x.gathered for x in levels.collect()]) / 6000
+        assert recall >= 0.9 and gathered <= most, (name, recall, gathered)
+
+
+def test_cuts_hold_every_string_where_ranges_look_for_it():
+    r = np.random.default_rng(4)
+    h = np.r_[r.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2), np.full(700, 2**63 + 5, np.uint64)][:, None]
+    cuts = op4_neighbours.Cuts(h, len(h), 60)
+    at = cuts.slice_of(0, h[:, 0], r.integers(0, 10**6, len(h)))
+    assert len(set(at[500:].tolist())) > 5 and np.bincount(at).max() < 240
+    for depth in (0, 1, 3, 7, 20, 63, 64):
+        low, high = op4_neighbours.prefix_range(h[:, 0], depth)
+        first, last = cuts.touched(0, low, high)
+        for j in range(0, len(h), 37):
+            inside = (h[:, 0] >= low[j]) & (h[:, 0] <= high[j])
+            assert inside[j] and (at[inside] >= first[j]).all() and (at[inside] <= last[j]).all()
+
+
 # 5: leaks
 
 
