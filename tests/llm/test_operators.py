@@ -351,6 +351,17 @@ def test_intervals_and_hosts(spark):
     assert not any(r.blocked for r in op7_urls.evaluate(pages, entries.limit(0)).collect())
 
 
+def test_hot_hosts_repeated_rows_and_clashing_names(spark, tmp_path):
+    (tmp_path / "list.csv").write_text("list,domain,path,action,at\nl,hot.org,,add,2024-01-02\nm,hot.org,/p,add,2024-01-01\nm,hot.org,/p,remove,2024-02-01\nn,org,,add,2024-01-03\n")
+    entries = op7_urls.read_list(spark, str(tmp_path / "list.csv"))
+    rows = [(i % 900, f"http://hot.org/{'p' if i % 2 else 'q'}", f"2024-0{1 + i % 2}-04") for i in range(2500)] + [(i, f"http://h{i}.org/", "2024-01-02") for i in range(300)] + [(None, None, None)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, fetched string, rules string, `on.row` int")
+    out = op7_urls.evaluate(pages, entries)
+    assert out.columns == ["page_id", "url", "fetched", "rules", "on.row", "host", "n_active", "blocked", "lists"]
+    expected = [(i, 2, "l,n") for i, u, _ in rows if u and "hot" in u] + [(i, 0, None) for i, u, _ in rows if not u or "hot" not in u]
+    assert sorted(((r.page_id, r.n_active, r.lists) for r in out.collect()), key=str) == sorted(expected, key=str)
+
+
 # 8: licenses
 
 
