@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Iterator, Sequence
+from itertools import chain
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,64 +32,29 @@ ARROW = pa.schema(
     ]
 )
 _TYPES = {"int64": "long", "int32": "int", "string": "string", "bool": "boolean"}
-SCHEMA = ", ".join(f"{f.name} " + ("array<struct<name:string,name_lc:string,raw:string,value:string>>" if f.name == "attrs" else "map<string,string>" if f.name == "attr_map" else "array<string>" if f.name == "classes" else _TYPES[str(f.type)]) for f in ARROW)
+_SQL_TYPES = {f.name: "array<struct<name:string,name_lc:string,raw:string,value:string>>" if f.name == "attrs" else "map<string,string>" if f.name == "attr_map" else "array<string>" if f.name == "classes" else _TYPES[str(f.type)] for f in ARROW}
+SCHEMA = ", ".join(f"{k} {v}" for k, v in _SQL_TYPES.items())
+#: The columns of the tree alone: what a parser's node records hold, attributes and texts left where they are.
+STRUCTURE = ("doc_id", "node_idx", "kind", "tag", "parent", "prev_sibling", "last_child", "subtree_end", "depth", "sib_pos", "is_last")
 
 _ESCAPES = ((b"&", b"&amp;"), (b"<", b"&lt;"), (b'"', b"&quot;"))
+_HTML = {"html_start", "html_open_end", "html_end", "doc_html"}
+_ATTRIBUTES = {"id", "classes", "attrs", "attr_map", "canonical_open"}
 
 
 def _s(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def rows_of(doc_id: int, html: bytes, drop_ws: bool = True) -> list[tuple]:
-    """A row of ARROW for each node of one document. Offsets count characters in doc_text and doc_html, which are the decoded
-    texts and the serialised nodes put together in order, so that any subtree's text or HTML is one substring."""
-    nodes = parser.parse(html, drop_ws)
-    text, out, rows = [], [], []
-    t = h = 0
-    open_elements: list[int] = []
-
-    def shut(i: int) -> None:
-        nonlocal h
-        while open_elements and nodes[open_elements[-1]].subtree_end < i:
-            k = open_elements.pop()
-            if nodes[k].name.lower() not in parser.VOID:
-                end = f"</{_s(nodes[k].name)}>"
-                out.append(end)
-                h += len(end)
-            rows[k][19], rows[k][22] = t, h
-
-    for i, n in enumerate(nodes):
-        shut(i)
-        row = [doc_id, i, KINDS[n.kind], None, None, n.parent if i else None, n.prev_sibling if n.prev_sibling >= 0 else None, n.last_child if n.last_child >= 0 else None, n.subtree_end, n.depth, None, None, None, None, None, None, None, None, t, t, h, h, h, None, None, None, None, None]
-        if n.kind == parser.TEXT:
-            raw, plain = _s(n.name), _s(decode(n.name))
-            text.append(plain)
-            out.append(raw)
-            t, h = t + len(plain), h + len(raw)
-            row[4], row[16], row[17], row[19], row[21], row[22] = raw, raw, plain, t, h, h
-        elif n.kind == parser.ELEMENT:
-            found = parser.attributes(n.attrs) if n.attrs else []
-            name = _s(n.name)
-            values: dict[str, str] = {}
-            for a in found:
-                values.setdefault(_s(a.name.lower()), _s(a.value))
-            opening = f"<{name}" + "".join(" " + _s(a.raw) for a in found) + ">"
-            escaped = b"".join(b" " + a.name if a.bare else b" " + a.name + b'="' + _escape(a.value) + b'"' for a in found)
-            out.append(opening)
-            h += len(opening)
-            row[3], row[4], row[10], row[11] = _s(n.name.lower()), name, n.sib_pos, nodes[n.parent].last_child == i
-            row[12] = values.get("id")
-            row[13] = _tokens(values["class"]) if "class" in values else None
-            row[14] = [{"name": _s(a.name), "name_lc": _s(a.name.lower()), "raw": _s(a.raw), "value": _s(a.value)} for a in found]
-            row[15] = list(values.items())
-            row[21], row[23] = h, f"<{name}" + _s(escaped) + ">"
-            open_elements.append(i)
-        rows.append(row)
-    shut(len(nodes) + 1)
-    rows[0][4], rows[0][19], rows[0][22], rows[0][21] = "", t, h, h
-    rows[0][24:28] = ["".join(text), "".join(out), len(html), len(nodes)]
-    return rows
+class _Names(dict):
+    """For a tag's raw name: the name, the name in lower case, and its start and end tag without attributes."""
+
+    def __missing__(self, raw: bytes) -> tuple[str, str, str, str]:
+        name = _s(raw)
+        out = name, _s(raw.lower()), f"<{name}>", "" if raw.lower() in parser.VOID else f"</{name}>"
+        if len(self) < 10_000:
+            self[raw] = out
+        return out
 
 
 def _escape(value: bytes) -> bytes:
@@ -100,20 +69,206 @@ def _tokens(value: str) -> list[str]:
     return [x for x in value.split(" ") if x]
 
 
-def parse_nodes(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", drop_ws: bool = True) -> DataFrame:
+def _masked(values: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, kind, mask=null)
+
+
+def _offsets(counts: list[int | None]) -> pa.Array:
+    """Offsets of lists by their lengths; None makes a null list."""
+    ends = np.cumsum([0] + [c or 0 for c in counts])
+    return pa.array(ends.astype(np.int32), mask=np.array([c is None for c in counts] + [False]))
+
+
+class _Attributes:
+    """Columns of attributes for the nodes of a batch, filled node by node."""
+
+    def __init__(self, wanted: set[str]):
+        self.wanted = wanted
+        self.id, self.classes, self.canonical, self.n_attrs, self.n_map, self.keys, self.values = [], [], [], [], [], [], []
+        self.flat = [[], [], [], []]
+
+    def none(self, element: str | None) -> None:
+        """A node without attributes; `element` is its start tag, if it is one."""
+        self.id.append(None)
+        self.classes.append(None)
+        self.canonical.append(element)
+        for n in (self.n_attrs, self.n_map):
+            n.append(None if element is None else 0)
+
+    def some(self, name: str, found: list[parser.Attr]) -> None:
+        values: dict[str, str] = {}
+        names = [(_s(a.name), _s(a.name.lower()), _s(a.value)) for a in found]
+        for _, low, value in names:
+            values.setdefault(low, value)
+        self.id.append(values.get("id"))
+        self.classes.append(_tokens(values["class"]) if "class" in values else None)
+        self.n_map.append(len(values))
+        self.keys += values.keys()
+        self.values += values.values()
+        if "attrs" in self.wanted:
+            self.n_attrs.append(len(found))
+            for column, x in zip(self.flat, (*zip(*names, strict=True),), strict=False):
+                column += x
+            self.flat[3] += [_s(a.raw) for a in found]
+        if "canonical_open" in self.wanted:
+            escaped = b"".join(b" " + a.name if a.bare else b" " + a.name + b'="' + _escape(a.value) + b'"' for a in found)
+            self.canonical.append(f"<{name}{_s(escaped)}>")
+
+    def columns(self) -> dict[str, pa.Array]:
+        text = lambda x: pa.array(x, pa.string())
+        out = {"id": text(self.id), "classes": pa.array(self.classes, pa.list_(pa.string())), "attr_map": pa.MapArray.from_arrays(_offsets(self.n_map), text(self.keys), text(self.values))}
+        if "attrs" in self.wanted:
+            name, low, value, raw = map(text, self.flat)
+            out["attrs"] = pa.ListArray.from_arrays(_offsets(self.n_attrs), pa.StructArray.from_arrays([name, low, raw, value], fields=list(_ATTRS.value_type)))
+        if "canonical_open" in self.wanted:
+            out["canonical_open"] = text(self.canonical)
+        return out
+
+
+_NAMES = _Names()
+_LINKS = attrgetter("kind", "parent", "prev_sibling", "last_child", "subtree_end", "depth", "sib_pos")
+
+
+def batch_of(ids: Sequence[int | None], pages: Sequence[bytes], drop_ws: bool = True, wanted: Sequence[str] = tuple(ARROW.names)) -> pa.RecordBatch:
+    """A row of ARROW, or of the columns `wanted`, for each node of some documents. Offsets count characters in doc_text and
+    doc_html, which are the decoded texts and the serialised nodes put together in order, so that any subtree's text or HTML is
+    one substring. They are running sums over the nodes: what is wanted alone is built."""
+    want = set(wanted)
+    parsed = [parser.parse(p, drop_ws) for p in pages]
+    nodes = list(chain.from_iterable(parsed))
+    sizes = np.array([len(x) for x in parsed], np.int64)
+    base = np.cumsum(sizes) - sizes
+    start = np.repeat(base, sizes)  # of each node its document's first
+    place = np.arange(len(nodes))
+    numbers = np.fromiter(chain.from_iterable(map(_LINKS, nodes)), np.int64, 7 * len(nodes)).reshape(-1, 7)
+    kinds, parent, before, last, end, depth, sib = np.ascontiguousarray(numbers.T)
+    element = kinds == parser.ELEMENT
+    out: dict[str, pa.Array] = {
+        "doc_id": pa.array(np.repeat(np.array([i if i is not None else 0 for i in ids], np.int64), sizes), mask=np.repeat(np.array([i is None for i in ids], bool), sizes)),
+        "node_idx": pa.array(place - start, pa.int32()),
+        "kind": pa.array(KINDS).take(pa.array(kinds)),
+        "parent": _masked(parent, parent < 0, pa.int32()),
+        "prev_sibling": _masked(before, before < 0, pa.int32()),
+        "last_child": _masked(last, last < 0, pa.int32()),
+        "subtree_end": pa.array(end, pa.int32()),
+        "depth": pa.array(depth, pa.int32()),
+        "sib_pos": _masked(sib, ~element, pa.int32()),
+        "is_last": _masked(last[np.maximum(start + parent, 0)] == place - start, ~element, pa.bool_()),
+    }
+    if "tag" in want:
+        out["tag"] = pa.array([_NAMES[n.name][1] if n.kind == parser.ELEMENT else None for n in nodes], pa.string())
+    if want & {"input_len", "node_count"}:
+        first = place == start
+        of_doc = lambda x: _masked(np.repeat(x, sizes), ~first, pa.int64())
+        out["input_len"], out["node_count"] = of_doc(np.array([len(p) for p in pages], np.int64)), of_doc(sizes)
+    if want - set(out):
+        out |= _contents(parsed, nodes, want, base, start, place, end)
+    return pa.RecordBatch.from_arrays([out[c] for c in wanted], schema=pa.schema([ARROW.field(c) for c in wanted]))
+
+
+def rows_of(doc_id: int | None, html: bytes, drop_ws: bool = True) -> list[tuple]:
+    """The rows of one document, in the order of ARROW."""
+    return list(zip(*(c.to_pylist() for c in batch_of([doc_id], [html], drop_ws).columns), strict=True))
+
+
+def _contents(parsed, nodes, want: set[str], base: np.ndarray, start: np.ndarray, place: np.ndarray, end: np.ndarray) -> dict[str, pa.Array]:
+    """Columns of names, attributes, texts and serialised HTML."""
+    html, attributes = bool(want & _HTML), _Attributes(want) if want & _ATTRIBUTES else None
+    raw: list[str | None] = []  # names and raw texts
+    plain: list[str | None] = []  # decoded texts
+    opens: list[str] = []
+    closes: list[str] = []
+    for n in nodes:
+        if n.kind == parser.TEXT:
+            r = _s(n.name)
+            raw.append(r)
+            plain.append(_s(decode(n.name)) if b"&" in n.name else r)
+            opens.append(r)
+            closes.append("")
+        elif n.kind == parser.ELEMENT:
+            name, _, opening, closing = _NAMES[n.name]
+            raw.append(name)
+            plain.append(None)
+            closes.append(closing)
+            if n.attrs and (html or attributes) and (found := parser.attributes(n.attrs)):
+                if html:
+                    opening = f"<{name} {' '.join([_s(a.raw) for a in found])}>"
+                if attributes:
+                    attributes.some(name, found)
+                opens.append(opening)
+                continue
+            opens.append(opening)
+            if attributes:
+                attributes.none(opening)
+            continue
+        else:
+            raw.append("")
+            plain.append(None)
+            opens.append("")
+            closes.append("")
+        if attributes:
+            attributes.none(None)
+    text = np.array([p is not None for p in plain], bool)
+    out = attributes.columns() if attributes else {}
+    out["tag_raw"] = pa.array(raw, pa.string())
+    if "raw_text" in want:
+        out["raw_text"] = pa.array(raw, pa.string(), mask=~text)
+    out["text"] = pa.array(plain, pa.string())
+    upto = np.r_[0, np.cumsum([len(p) if p else 0 for p in plain])]
+    out["text_start"], out["text_end"] = (pa.array(upto[x] - upto[start], pa.int32()) for x in (place, start + end + 1))
+    first = place == start
+    sizes = np.array([len(x) for x in parsed], np.int64)
+    if "doc_text" in want:
+        whole = np.full(len(nodes), None, object)
+        whole[first] = ["".join([p for p in plain[a : a + n] if p]) for a, n in zip(base.tolist(), sizes.tolist(), strict=True)]
+        out["doc_text"] = pa.array(whole, pa.string())
+    if html:
+        last = start + end
+        open_len, close_len = np.array([len(x) for x in opens], np.int64), np.array([len(x) for x in closes], np.int64)
+        opened = np.r_[0, np.cumsum(open_len)]
+        closed = np.r_[0, np.cumsum(np.bincount(last, close_len, len(nodes)).astype(np.int64))]  # by the nodes before a place
+        at = opened[:-1] + closed[:-1]
+        begin = at - at[start]
+        # of elements that end together the inner ones are closed first
+        order = np.lexsort((-place, last))
+        run = np.cumsum(close_len[order])
+        fresh = np.r_[True, np.diff(last[order]) != 0]
+        run -= np.repeat((run - close_len[order])[fresh], np.diff(np.r_[np.flatnonzero(fresh), len(order)]))
+        own = np.empty(len(nodes), np.int64)
+        own[order] = run
+        finish = opened[last + 1] + closed[last] + own - at[start]
+        out["html_start"], out["html_end"] = pa.array(begin, pa.int32()), pa.array(finish, pa.int32())
+        out["html_open_end"] = pa.array(np.where(first, finish, begin + open_len), pa.int32())
+        if "doc_html" in want:
+            after = [""] * len(nodes)
+            for k in np.flatnonzero(close_len)[::-1].tolist():
+                after[last[k]] += closes[k]
+            whole = np.full(len(nodes), None, object)
+            whole[first] = ["".join(chain.from_iterable(zip(opens[a : a + n], after[a : a + n], strict=True))) for a, n in zip(base.tolist(), sizes.tolist(), strict=True)]
+            out["doc_html"] = pa.array(whole, pa.string())
+    return out
+
+
+def parse_nodes(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", drop_ws: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
     """The node table of all documents in `df`, a row for each node. Null HTML makes a document without children.
 
-    Parsing is local to a row and keeps no state, so it runs over a stream as well. The Python step stops column pruning:
-    keep its result (a table, or persist()) if several queries read it.
+    Parsing is local to a row and keeps no state, so it runs over a stream as well. The Python step stops column pruning: name
+    the `columns` that are needed (STRUCTURE is the cheapest useful choice), and keep the result if several queries read it.
     """
     importable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    wanted = [c for c in ARROW.names if columns is None or c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows_of(i, x or b"", drop_ws)]
-            cols = list(zip(*rows, strict=True)) or [()] * len(ARROW)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
+            collects = gc.isenabled()
+            gc.disable()  # a batch makes many objects and no cycles
+            try:
+                out = batch_of(b.column(0).to_pylist(), [x or b"" for x in b.column(1).to_pylist()], drop_ws, wanted)
+            finally:
+                if collects:
+                    gc.enable()
+            yield out
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).cast("string").cast("binary").alias("html"))
-    return slim.mapInArrow(run, SCHEMA)
+    return slim.mapInArrow(run, ", ".join(f"{c} {_SQL_TYPES[c]}" for c in wanted))

@@ -105,6 +105,7 @@ def _svg_end(src: bytes, at: int) -> int | None:
 class _Builder:
     nodes: list[Node] = field(default_factory=lambda: [Node(DOCUMENT, -1)])
     stack: list[int] = field(default_factory=lambda: [0])
+    tags: list[bytes] = field(default_factory=lambda: [b""])  # of the stack's elements, in lower case
 
     def text(self, raw: bytes, parent: int) -> None:
         i = len(self.nodes)
@@ -123,13 +124,13 @@ class _Builder:
         end = len(self.nodes) - 1
         for i in self.stack[down_to:]:
             self.nodes[i].subtree_end = end
-        del self.stack[down_to:]
+        del self.stack[down_to:], self.tags[down_to:]
 
 
 def parse(src: bytes, drop_ws: bool = True) -> list[Node]:
     """All nodes in preorder; node 0 is the document. `drop_ws` leaves out text runs of nothing but white space."""
     b, at, size = _Builder(), 0, len(src)
-    nodes, stack = b.nodes, b.stack
+    stack, tags = b.stack, b.tags
     while at < size:
         lt = src.find(b"<", at)
         if lt != at:
@@ -147,8 +148,8 @@ def parse(src: bytes, drop_ws: bool = True) -> list[Node]:
             gt = src.find(b">", m.end())
             at = size if gt < 0 else gt + 1
             if name := m[1].lower():
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].name.lower() == name:
+                for k in range(len(tags) - 1, 0, -1):
+                    if tags[k] == name:
                         b.close(k)
                         break
         elif mark == b"?":
@@ -171,16 +172,18 @@ def parse(src: bytes, drop_ws: bool = True) -> list[Node]:
                 continue
             at = _start_tag(b, src, m)
     b.close(1)
-    nodes[0].subtree_end = len(nodes) - 1
-    return nodes
+    b.nodes[0].subtree_end = len(b.nodes) - 1
+    return b.nodes
 
 
 def _start_tag(b: _Builder, src: bytes, m: re.Match[bytes]) -> int:
     """Adds the element that a start tag opens, with its text if that is taken as it stands; where to go on."""
-    name = m[1][:8].lower() + m[1][8:]  # only the first eight bytes of a name are folded
+    name = m[1]
     tag, size = name.lower(), len(src)
-    nodes, stack = b.nodes, b.stack
-    while len(stack) > 1 and tag in ENDED_BY.get(nodes[stack[-1]].name.lower(), ()):
+    if name != tag:
+        name = tag[:8] + name[8:]  # only the first eight bytes of a name are folded
+    nodes, stack, tags = b.nodes, b.stack, b.tags
+    while tags[-1] in ENDED_BY and tag in ENDED_BY[tags[-1]]:
         b.close(len(stack) - 1)
     end = _TAG_END.match(src, m.end())
     at = end.end() if end else size
@@ -201,6 +204,7 @@ def _start_tag(b: _Builder, src: bytes, m: re.Match[bytes]) -> int:
         has_text = inner[1] > at
     else:
         stack.append(i)
+        tags.append(tag)
         return at
     if has_text:
         b.text(src[inner[0] : inner[1]], i)

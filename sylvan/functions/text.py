@@ -20,12 +20,3 @@ def trim_space(c: Column) -> Column:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
-
-
-def eq_ignore_case(a: Column, b: Column) -> Column:
-    return ascii_lower(a) == ascii_lower(b)
-
-
-def has_token(value: Column, token: str) -> Column:
-    """True if `token` is one of the words of `value`; the empty token never is."""
-    return F.coalesce(F.array_contains(F.split(value, _WS), token), F.lit(False)) if token else F.lit(False)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import time
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.dom.frame import parse_nodes
@@ -24,19 +27,34 @@ def skip_documents(df: DataFrame, selector: str | Selector, html_col: str = "htm
     return df
 
 
+#: The kinds of queries that hooks tell apart.
+KINDS = ("one_runtime", "one_cached", "all_runtime", "all_cached")
+
+
 class Corpus:
-    """A node table (`sylvan.dom.frame.SCHEMA`), one row a node, keyed by (doc_id, node_idx)."""
+    """A node table (`sylvan.dom.frame.SCHEMA`), one row a node, keyed by (doc_id, node_idx).
+
+    A doc_id is taken to be one document: rows that share one are mixed up in every join, and rows without one are in no join,
+    so that they answer selectors of single compounds only. Give such tables an id of their own first.
+    """
 
     def __init__(self, nodes: DataFrame):
         self.nodes = nodes
 
     @classmethod
-    def parse(cls, df: DataFrame, id_col: str = "doc_id", html_col: str = "html", drop_ws: bool = True, partitions: int | None = None) -> Corpus:
-        """Parses every document. With `partitions`, documents are dealt by id first, which selector plans then reuse."""
-        if partitions:
-            df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).alias("html")).repartition(partitions, "doc_id")
-            return cls(parse_nodes(df, "doc_id", "html", drop_ws))
-        return cls(parse_nodes(df, id_col, html_col, drop_ws))
+    def parse(cls, df: DataFrame, id_col: str = "doc_id", html_col: str = "html", drop_ws: bool = True, columns: Sequence[str] | None = None) -> Corpus:
+        """Parses every document, into all columns of the node table or those that the queries to come ask for."""
+        return cls(parse_nodes(df, id_col, html_col, drop_ws, columns))
+
+    def write(self, path: str, mode: str = "errorifexists") -> None:
+        """The node table at rest. Rows of a file stand by tag, so that row groups of other tags are skipped by their
+        statistics, and ids have Bloom filters: `#id` and tag queries over `read` open little of it."""
+        rows = self.nodes.sortWithinPartitions("tag", "doc_id", "node_idx")
+        rows.write.mode(mode).option("parquet.bloom.filter.enabled#id", "true").option("parquet.block.size", str(32 << 20)).parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Corpus:
+        return cls(spark.read.parquet(path))
 
     def keep(self) -> Corpus:
         """Holds the nodes for several queries, hash-partitioned by document so that joins on it need no shuffle."""
@@ -177,11 +195,46 @@ class Corpus:
         rows = self.query_one(selector) if one else self.query_all(selector)
         return rows.observe(seen, F.count(F.lit(1)).alias("matches")), seen
 
-    def query_stats(self, selector: str | Selector) -> DataFrame:
-        """(doc_id, selector_len, kind, matched) of a first-match query."""
+    def query_stats(self, selector: str | Selector, kind: str | None = None) -> DataFrame:
+        """(doc_id, selector_len, kind, matched) of a query. Whether it matched is told of first-match kinds only; a Selector
+        that was compiled before is a cached query, a string a runtime one."""
+        kind = kind or ("one_cached" if isinstance(selector, Selector) else "one_runtime")
+        if kind not in KINDS:
+            raise ValueError(f"kind is one of {', '.join(KINDS)}")
         s = select.as_selector(selector)
-        hits = self.query_one(s).select("doc_id", F.lit(True).alias("matched"))
-        return self.nodes.where("node_idx = 0").select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.lit(len(s.source.encode())).cast("long").alias("selector_len"), F.lit("one_runtime").alias("kind"), F.coalesce("matched", F.lit(False)).alias("matched"))
+        docs = self.nodes.where("node_idx = 0").select("doc_id")
+        if kind.startswith("all"):
+            out = docs.withColumn("matched", F.lit(None).cast("boolean"))
+        else:
+            out = docs.join(self.query_one(s).select("doc_id", F.lit(True).alias("matched")), "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+        return out.select("doc_id", F.lit(len(s.source.encode())).cast("long").alias("selector_len"), F.lit(kind).alias("kind"), "matched")
+
+    def with_hooks(self, selector: str | Selector, kind: str = "one_runtime", on_start: Callable[[dict], None] | None = None, on_end: Callable[[dict], None] | None = None) -> int:
+        """Runs a query over the whole corpus and gives its number of matches (for first-match kinds, of documents with one).
+        on_start gets selector_len and kind, on_end those and elapsed_ns and matched (null for kinds that find all)."""
+        if kind not in KINDS:
+            raise ValueError(f"kind is one of {', '.join(KINDS)}")
+        told = {"selector_len": len((selector.source if isinstance(selector, Selector) else selector).encode()), "kind": kind}
+        if on_start:
+            on_start(told)
+        start = time.perf_counter_ns()
+        n = (self.query_one(selector) if kind.startswith("one") else self.query_all(selector)).count()
+        if on_end:
+            on_end(told | {"elapsed_ns": time.perf_counter_ns() - start, "matched": n > 0 if kind.startswith("one") else None})
+        return n
+
+    @classmethod
+    def parse_with_hooks(cls, df: DataFrame, id_col: str = "doc_id", html_col: str = "html", on_start: Callable[[dict], None] | None = None, on_end: Callable[[dict], None] | None = None) -> Corpus:
+        """Parses and keeps a corpus. on_start gets input_len, on_end that and node_count (documents included) and elapsed_ns."""
+        size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(html_col))), F.lit(0))).first()[0]
+        if on_start:
+            on_start({"input_len": size})
+        start = time.perf_counter_ns()
+        corpus = cls.parse(df, id_col, html_col).keep()
+        n = corpus.nodes.count()
+        if on_end:
+            on_end({"elapsed_ns": time.perf_counter_ns() - start, "input_len": size, "node_count": n})
+        return corpus
 
 
 __all__ = ["Corpus", "InvalidSelector", "required_tags", "skip_documents"]

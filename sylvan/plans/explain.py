@@ -59,10 +59,11 @@ def report(nodes: DataFrame, selector: str | Selector, scopes: DataFrame | None
     s = as_selector(selector)
     keys = ["doc_id"] if scopes is None else ["doc_id", "scope_idx"]
     every = nodes.where("node_idx = 0").select("doc_id") if scopes is None else scopes.select(*keys).distinct()
-    e = _evaluated(nodes, s, scopes)
-    first = e.groupBy(*keys).agg(F.min(F.when(F.col("group").isNotNull(), F.struct("node_idx", "group"))).alias("__m"), F.sort_array(F.collect_list("node_idx")).alias("__seen"))
-    until = F.when(F.col("__m").isNull(), F.size("__seen")).otherwise(F.size(F.filter("__seen", lambda i: i <= F.col("__m.node_idx"))))
-    visited = F.coalesce(until, F.lit(0)).cast("long")
+    hit = F.col("group").isNotNull().cast("int")
+    earlier = F.coalesce(F.max(hit).over(Window.partitionBy(*keys).orderBy("node_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    e = _evaluated(nodes, s, scopes).withColumn("__visited", 1 - earlier)
+    first = e.groupBy(*keys).agg(F.min(F.when(F.col("group").isNotNull(), F.struct("node_idx", "group"))).alias("__m"), F.sum("__visited").alias("__n"))
+    visited = F.coalesce(F.col("__n"), F.lit(0)).cast("long")
     out = every.join(first, keys, "left").select(*keys, visited.alias("visited_elements"), F.col("__m.node_idx").cast("long").alias("matched_index"), F.col("__m.group").alias("matched_group"))
     held = range(min(len(s.groups), GROUPS))
     tried = F.array(*[F.col("visited_elements") - F.coalesce((F.lit(g) > F.col("matched_group")).cast("long"), F.lit(0)) for g in held])

@@ -5,13 +5,14 @@ Queries over `pages` have SQL that parses pages again; queries over small docume
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.functions import text as fn
-from sylvan.operators.corpus import Corpus, InvalidSelector, skip_documents
+from sylvan.operators.corpus import KINDS, Corpus, InvalidSelector, skip_documents
 from sylvan.plans.oracle import NODES, NORMAL, STRICT
 from sylvan.selector.parser import compiled, parse
 from sylvan.sources import html as source
@@ -223,7 +224,7 @@ PAGE_SELECTORS = {
     "sel_nth_child_step": ("li:nth-child(3n+1)", _NTH.format("tag = 'li' AND sib % 3 = 1")),
     "sel_nth_child_first": ("li:nth-child(-n+2)", _NTH.format("tag = 'li' AND sib <= 2")),
     "sel_not_tag": ("*:not(p)", "tag <> 'p'"),
-    "sel_not_class": ("div:not(.ad)", "tag = 'div' AND NOT coalesce(list_contains(string_split(class, ' '), 'ad'), false)"),
+    "sel_not_class": ("body > *:not(.ad)", "NOT coalesce(list_contains(string_split(class, ' '), 'ad'), false) AND EXISTS (SELECT 1 FROM el x WHERE x.page_id = att.page_id AND x.tag = 'body' AND x.idx = att.parent)"),
     "sel_not_attr": ("a:not([href^='/t'])", "tag = 'a' AND NOT coalesce(starts_with(href, '/t'), false)"),
     "sel_descendant": ("b p", "tag = 'p' AND EXISTS (SELECT 1 FROM el x WHERE x.page_id = att.page_id AND x.tag = 'b' AND x.idx < att.idx AND att.idx <= x.fin)"),
     "sel_child": ("b > p", "tag = 'p' AND EXISTS (SELECT 1 FROM el x WHERE x.page_id = att.page_id AND x.tag = 'b' AND x.idx = att.parent)"),
@@ -285,16 +286,77 @@ given("sel_cached_equiv", "selector VARCHAR, same BOOLEAN", [(s, True) for s in
 
 
 def _debug(c: Corpus) -> DataFrame:
-    return c.explain("b > p, footer").select("doc_id", "visited_elements", "matched_index", "matched_group", F.array_join(F.transform("group_eval_counts", lambda x: x.cast("string")), " ").alias("evals"))
+    return c.explain("b > p, footer").select("doc_id", "visited_elements", "matched_index", "matched_group", *[F.array_join(F.transform(f"group_{a}_counts", lambda x: x.cast("string")), " ").alias(b) for a, b in (("eval", "evals"), ("match", "matches"))])
 
 
 pages("debug_report", """, hit AS (SELECT page_id, idx, CASE WHEN tag = 'p' AND EXISTS (SELECT 1 FROM el x WHERE x.page_id = att.page_id AND x.tag = 'b' AND x.idx = att.parent) THEN 0 WHEN tag = 'footer' THEN 1 END AS g FROM att),
 one AS (SELECT page_id, min(idx) AS idx, arg_min(g, idx) AS g FROM hit WHERE g IS NOT NULL GROUP BY page_id),
 vis AS (SELECT e.page_id, count(*) AS n, any_value(o.idx) AS idx, any_value(o.g) AS g FROM el e LEFT JOIN one o ON o.page_id = e.page_id WHERE o.idx IS NULL OR e.idx <= o.idx GROUP BY e.page_id)
-SELECT page_id AS doc_id, n AS visited_elements, CAST(idx AS BIGINT) AS matched_index, CAST(g AS BIGINT) AS matched_group, n || ' ' || (n - CASE WHEN g = 0 THEN 1 ELSE 0 END) AS evals FROM vis""")(_debug)
+SELECT page_id AS doc_id, n AS visited_elements, CAST(idx AS BIGINT) AS matched_index, CAST(g AS BIGINT) AS matched_group, n || ' ' || (n - CASE WHEN g = 0 THEN 1 ELSE 0 END) AS evals, CASE g WHEN 0 THEN '1 0' WHEN 1 THEN '0 1' ELSE '0 0' END AS matches FROM vis""")(_debug)
+_SCOPED = """, sc AS (SELECT s.page_id, s.idx AS scope_idx, e.idx, e.tag, min(CASE WHEN e.tag = 'br' THEN e.idx END) OVER (PARTITION BY s.page_id, s.idx) AS hit
+  FROM el s LEFT JOIN el e ON e.page_id = s.page_id AND e.idx > s.idx AND e.idx <= s.fin WHERE s.tag IN ('article', 'nav'))
+"""
+pages("debug_scoped_report", _SCOPED + "SELECT page_id AS doc_id, CAST(scope_idx AS BIGINT) AS scope_idx, count(idx) FILTER (WHERE hit IS NULL OR idx <= hit) AS visited_elements, CAST(any_value(hit) AS BIGINT) AS matched_index, CAST(CASE WHEN any_value(hit) IS NOT NULL THEN 0 END AS BIGINT) AS matched_group FROM sc GROUP BY page_id, scope_idx")(
+    lambda c: longs(c.explain("br", c.scopes("article, nav")).select("doc_id", "scope_idx", "visited_elements", "matched_index", "matched_group"))
+)
+pages("debug_scoped_near_miss", _SCOPED + "SELECT page_id AS doc_id, CAST(scope_idx AS BIGINT) AS scope_idx, rank, CAST(idx AS BIGINT) AS node_idx, 'tag' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY page_id, scope_idx ORDER BY idx) AS rank FROM sc WHERE idx IS NOT NULL AND (hit IS NULL OR idx < hit)) WHERE rank <= 8")(
+    lambda c: longs(c.near_misses("br", c.scopes("article, nav")).select("doc_id", "scope_idx", "rank", "node_idx", "kind"))
+)
 pages("debug_near_miss", "SELECT page_id AS doc_id, rank, CAST(idx AS BIGINT) AS node_idx, CASE WHEN tag <> 'a' THEN 'tag' ELSE 'attr' END AS kind, CAST(0 AS BIGINT) AS group_index, CAST(0 AS BIGINT) AS compound_index, CAST(CASE WHEN tag <> 'a' THEN 0 ELSE 1 END AS BIGINT) AS predicate_index FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS rank FROM att) WHERE rank <= 8")(lambda c: c.near_misses('a[href^="https"]'))
 pages("query_stats", "SELECT p.page_id AS doc_id, CAST(5 AS BIGINT) AS selector_len, 'one_runtime' AS kind, EXISTS (SELECT 1 FROM el e JOIN el x ON x.page_id = e.page_id AND x.idx = e.parent WHERE e.page_id = p.page_id AND e.tag = 'p' AND x.tag = 'b') AS matched FROM pages p")(lambda c: c.query_stats("b > p"))
 _KINDS = [("i", "tag", 0), ("a#z", "id", 1), ("a.k.m", "class", 2), ("a[href^=https]", "attr", 1), ("a:last-child", "pseudo", 1), ("a:not(.k)", "not_simple", 1), ("> a", "scope", None), ("b a", "combinator", None)]
 given("debug_failure_kind", "selector VARCHAR, node_idx BIGINT, kind VARCHAR, compound_index BIGINT, predicate_index BIGINT", [(s, 2, k, 1 if k == "combinator" else 0, p) for s, k, p in _KINDS])(
     lambda spark: (lambda c: union([c.near_misses(s).where("node_idx = 2").select(F.lit(s).alias("selector"), "node_idx", "kind", "compound_index", "predicate_index") for s, *_ in _KINDS]))(small(spark, "<div><a id=x class='k l'></a><a id=y></a></div>"))
 )
+_HOOKED = "SELECT p.page_id AS doc_id, CAST(5 AS BIGINT) AS selector_len, k.kind, CASE WHEN k.kind LIKE 'one%' THEN EXISTS (SELECT 1 FROM el e JOIN el x ON x.page_id = e.page_id AND x.idx = e.parent WHERE e.page_id = p.page_id AND e.tag = 'p' AND x.tag = 'b') END AS matched FROM pages p, (VALUES ('one_runtime'), ('one_cached'), ('all_runtime'), ('all_cached')) AS k(kind)"
+pages("query_stats_kinds", _HOOKED)(lambda c: union([c.query_stats("b > p", kind) for kind in KINDS]))
+
+# --- at rest ---
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that spark.checkpoint.dir names; /tmp where that is unset."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/sylvan/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "nodes")
+    corpus(spark, sf_dir).write(path)
+    return longs(Corpus.read(spark, path).query_all("p, li:first-child"))
+
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file of its own, read back as files and parsed."""
+    path = _folder(spark, "files")
+    source.pages(spark, sf_dir).select(F.col("html").alias("value"), F.col("page_id").alias("page")).write.partitionBy("page").text(path)
+    docs = source.files(spark, path)
+    ids = docs.select("doc_id", F.regexp_extract("path", r"page=(\d+)", 1).cast("long").alias("page_id"))
+    return longs(Corpus.parse(docs).query_all("article p").join(ids, "doc_id").groupBy("page_id").agg(F.count("*").alias("n")))
+
+
+QUERIES["stored_nodes"] = _stored
+SQL["stored_nodes"] = NODES + _S.format("tag = 'p' OR (tag = 'li' AND prev IS NULL)")
+QUERIES["file_source"] = _filed
+SQL["file_source"] = NODES + "SELECT e.page_id, count(*) AS n FROM el e WHERE e.tag = 'p' AND EXISTS (SELECT 1 FROM el x WHERE x.page_id = e.page_id AND x.tag = 'article' AND x.idx < e.idx AND e.idx <= x.fin) GROUP BY e.page_id"
+
+# --- conformance cases over documents of our own that their counts describe ---
+
+#: Selectors of the conformance cases with the counts that they ask for.
+_WHOLE = {
+    ".a": 3, "#boosh,#boosh": 1, "#boosh,.apples,#boosh": 1, "#boosh #booshTest": 1, ".a.b #booshTest": 1, "#boosh>.a>#booshTest": 1, ".a>#booshTest": 1, "#boosh .a": 2, "#boosh div": 2,
+    "a.odd": 1, "#boosh div,#boosh span": 3, ".class-with-dashes": 1, "#boosh *": 4, "div#fixtures > div a": 5, "div#fixtures div ~ a div": 0,
+    ".parent .oldest ~ .sibling": 4, ".parent .middle ~ .sibling": 2, ".parent .middle ~ h4": 1, ".parent .middle ~ h4.younger": 1, ".parent .middle ~ h3": 0, ".parent .middle ~ h2": 0,
+    ".parent .youngest ~ .sibling": 0, ".parent .oldest + .sibling": 1, ".parent .middle + .sibling": 1, ".parent .middle + h4": 1, ".parent .middle + h3": 0, ".parent .middle + h2": 0,
+    ".parent .youngest + .sibling": 0, ".odd:not(div)": 1, "#pseudos div:first-child": 1, "#pseudos div:last-child": 1, "#pseudos :nth-child(odd)": 4, "#pseudos div:nth-child(odd)": 3,
+    "#pseudos div:nth-child(even)": 3, "#pseudos :nth-child(3n+1)": 3, "#pseudos :nth-child(+3n-2)": 3, "#pseudos :nth-child(-n+6)": 6, "#pseudos :nth-child(-n+5)": 5,
+}
+_NOWHERE = [
+    "nonexistent", ".second", "p#strong", "#link_2.internal.nonexistent", "li#item_1.nonexistent", "li#item_1.first.nonexistent", "#level1>div:first-child", "#level1:first-child", "#level1>span:last-child",
+    "div.brothers:not(.brothers)", "#level2_2 + span", "#level3_2 + *", "#level3_1 + em", "div > #nonexistent", "#level2_2 ~ span", "#level3_2 ~ *", "#level3_1 ~ em", "div ~ #level3_2", "div ~ #level2_3",
+]
+#: Nearly the same selectors, which the document answers.
+_SOMEWHERE = {"strong#strong": 1, "#link_2.internal": 1, "li#item_1.first": 1, "#level1>span:first-child": 1, "#level1>div:last-child": 1, "div.brothers:not(.sisters)": 1, "#level2_2 + div": 1, "#level3_1 + strong": 1, "#level2_1 ~ span": 1, "span ~ #level2_3": 1}
+_HOUSE = "<div id=boosh><div class='a b'><div id=booshTest></div></div><em></em><span class='h a'></span></div><p class='a class-with-dashes'></p><div id=fixtures><div><a></a><a class=odd></a><a></a></div><div class=odd><p><a></a></p><a></a></div></div><div class=parent><h1 class='oldest sibling'></h1><h2 class='older sibling'></h2><h3 class='middle sibling'></h3><h4 class='younger sibling'></h4><h5 class='youngest sibling'></h5></div><div id=pseudos><div></div><div></div><i></i><div></div><div></div><div></div><div></div></div>"
+_LEVELS = "<body><p id=first><strong id=strong></strong></p><a id=link_2 class=internal></a><ul><li id=item_1 class=first></li></ul><div class=brothers></div><div id=level1><span id=level2_1><span id=level3_1></span><strong></strong></span><span id=level2_2><em id=level3_2></em></span><div id=level2_3></div></div></body>"
+given("sel_conformance_document", "selector VARCHAR, n BIGINT", list(_WHOLE.items()))(lambda spark: counts(small(spark, _HOUSE), list(_WHOLE)))
+given("sel_conformance_none", "selector VARCHAR, n BIGINT", [(s, 0) for s in _NOWHERE] + list(_SOMEWHERE.items()))(lambda spark: counts(small(spark, _LEVELS), [*_NOWHERE, *_SOMEWHERE]))

@@ -25,7 +25,7 @@ def attribute(a: Attribute) -> Column:
     v, x = attr(a.name), F.lit(a.value)
     return {
         "exists": lambda: v.isNotNull(),
-        "eq": lambda: _safe(v == x),
+        "eq": lambda: v.eqNullSafe(x),
         "prefix": lambda: _safe(F.startswith(v, x)),
         "suffix": lambda: _safe(F.endswith(v, x)),
         "contains": lambda: _safe(F.contains(v, x)),
@@ -57,7 +57,7 @@ def negated(item: tuple) -> Column:
     if kind == "tag":
         return F.col("tag") != what
     if kind == "id":
-        return ~_safe(F.col("id") == what)
+        return ~F.col("id").eqNullSafe(what)
     return ~(has_class(what) if kind == "class" else attribute(what))
 
 
@@ -67,7 +67,7 @@ def compound(c: Compound) -> Column:
     if c.tag is not None:
         tests.append(F.col("tag") == c.tag)
     if c.id is not None:
-        tests.append(_safe(F.col("id") == c.id))
+        tests.append(F.col("id").eqNullSafe(c.id))
     tests += [has_class(name, n) for name, n in Counter(c.classes).items()]
     tests += map(attribute, c.attrs)
     tests += map(pseudo, c.pseudos)
@@ -84,7 +84,7 @@ def steps(c: Compound) -> list[tuple[str, Column]]:
     if c.tag is not None:
         out.append(("tag", F.col("tag") == c.tag))
     if c.id is not None:
-        out.append(("id", _safe(F.col("id") == c.id)))
+        out.append(("id", F.col("id").eqNullSafe(c.id)))
     out += [("class", has_class(x)) for x in c.classes]
     out += [("attr", attribute(x)) for x in c.attrs]
     out += [("pseudo", pseudo(x)) for x in c.pseudos]

@@ -117,8 +117,47 @@ def test_streams_parse_like_tables(spark, tmp_path, docs):
 
 
 def test_no_shuffle_in_combinators_over_kept_nodes(spark, corpus):
-    plan = corpus.query_all("a > b c ~ a")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Python" not in plan  # native after parsing
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for selector in ("a > b c ~ a", "a + b", "a b"):
+            plan = corpus.query_all(selector)._jdf.queryExecution().executedPlan().toString()
+            # the only exchanges are those by which the nodes were kept
+            assert plan.count("Exchange") == plan.count("REPARTITION_BY_COL") > 0
+            assert "InMemoryTableScan" in plan and "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_stored_nodes_are_pruned_by_tag_and_id(spark, corpus, tmp_path):
+    corpus.write(str(tmp_path / "nodes"))
+    stored = Corpus.read(spark, str(tmp_path / "nodes"))
+    for selector in ("a > b", "#x", "b"):
+        assert sorted(map(tuple, stored.query_all(selector).collect())) == sorted(map(tuple, corpus.query_all(selector).collect()))
+    assert "EqualTo(tag,b)" in stored.query_all("b")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualNullSafe(id,x)" in stored.query_all("#x")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_wanted_columns_are_built(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, html string")
+    whole = Corpus.parse(df).nodes
+    for columns in (frame.STRUCTURE, ("doc_id", "node_idx", "text"), ("doc_id", "html_end", "doc_html"), ("doc_id", "attrs", "id"), ("doc_id", "node_count")):
+        part = Corpus.parse(df, columns=columns).nodes
+        assert part.columns == [c for c in whole.columns if c in columns]
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.select(part.columns).collect()))
+
+
+def test_hooks(spark, corpus, docs):
+    told = []
+    n = corpus.with_hooks("a > b", "all_cached", told.append, told.append)
+    assert n == corpus.query_all("a > b").count() and told[0] == {"selector_len": 5, "kind": "all_cached"} and told[1]["matched"] is None and told[1]["elapsed_ns"] > 0
+    assert corpus.with_hooks("nothing", on_end=told.append) == 0 and told[-1]["matched"] is False
+    with pytest.raises(ValueError, match="kind"):
+        corpus.with_hooks("a", "some")
+    Corpus.parse_with_hooks(spark.createDataFrame([(1, "<p>é")], "doc_id long, html string"), on_start=told.append, on_end=told.append).clear()
+    assert told[-2] == {"input_len": 5} and told[-1]["node_count"] == 3
+    rows, seen = corpus.observed("a > b")
+    assert rows.count() == n and seen.get["matches"] == n
 
 
 @pytest.mark.parametrize("text", ["", ",", "div >", "#a#b", "a:not()", "[x", "a[b^]", "li:nth-child(2n + 1)", "a b,", "a::b"])
