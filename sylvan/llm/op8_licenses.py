@@ -72,50 +72,110 @@ def block_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id
 class Matcher:
     """Finds every block whose overlap with a template reaches the threshold.
 
-    Template words stand from rare to frequent. An overlap of `need` among `size` words must touch the first size - need + 1
-    of them (prefix filter); a block needs that many distinct words (length filter); and a first hit at place i leaves at
-    most size - i words to share (positional filter). What passes is verified on the whole sets.
+    All words have one order: first those of no template, which no template's frequency counts, then template words from rare to
+    frequent. An overlap of `need` words must touch the first size - need + 1 words of a template (prefix filter); a block needs
+    that many distinct words (length filter); and of the block only the words from the first one that it shares on can be
+    shared, so that many must be left of it in the order (positional filter; on the template's side the prefix has seen to
+    that). What passes is verified on the whole sets. `rejected` counts what each filter turned away.
     """
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float, telling: dict[str, tuple[str, ...]] | None = None):
-        self.templates, self.by_word, self.runs = [], {}, {}
+        self.templates, self.by_word, self.runs = [], {}, []
         self.telling = {label: [p.encode().split() for p in phrases] for label, phrases in (telling or {}).items()}
+        self.rejected = Counter()
         for label, text in sorted(templates.items()):
-            self.runs[label] = len(words_of(text.encode()))
             words = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
+            if not words:
+                continue  # a template without words is held by nothing
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             k = len(self.templates)
             self.templates.append((label, frozenset(words), need))
-            for i, w in enumerate(words[: len(words) - need + 1]):
-                self.by_word.setdefault(w, []).append((k, i))
+            self.runs.append(len(words_of(text.encode())))
+            for w in words[: len(words) - need + 1]:
+                self.by_word.setdefault(w, []).append(k)
         self.prefix = frozenset(self.by_word)
+        order = sorted({w for _, t, _ in self.templates for w in t}, key=lambda w: (frequency.get(w, 0), w))
+        self.place = {w: i for i, w in enumerate(order)}
 
-    def block(self, words: set[bytes]) -> list[tuple[str, float]]:
-        first: dict[int, int] = {}
+    def _touched(self, words: set[bytes] | frozenset[bytes]) -> dict[int, list[bytes]]:
+        """Templates of which a prefix word is in `words`, with those words."""
+        out: dict[int, list[bytes]] = {}
         for w in words & self.prefix:
-            for k, i in self.by_word[w]:
-                first[k] = min(i, first.get(k, i))
+            for k in self.by_word[w]:
+                out.setdefault(k, []).append(w)
+        return out
+
+    def _passes(self, k: int, words: set[bytes], hits: list[bytes]) -> bool:
+        """Length and positional filters of a block for template k, whose prefix words in the block are `hits`."""
+        need = self.templates[k][2]
+        if len(words) < need:
+            self.rejected["length"] += 1
+            return False
+        first = min(self.place[w] for w in hits)
+        if sum(self.place.get(w, -1) >= first for w in words) < need:
+            self.rejected["position"] += 1
+            return False
+        return True
+
+    def block(self, words: set[bytes]) -> list[tuple[str, float]]:
         found = []
-        for k, i in first.items():
+        for k, hits in self._touched(words).items():
             label, template, need = self.templates[k]
-            if len(words) >= need and len(template) - i >= need and (n := len(words & template)) >= need:
+            if self._passes(k, words, hits) and (n := len(words & template)) >= need:
                 found.append((label, n / len(template)))
         return found
 
     def text(self, low: bytes, words: list[bytes], held: set[bytes], lines: bool) -> list[tuple[str, float]]:
         """Templates in the runs of words of a text in lower case, which pass over line ends, and in its `lines`, where any
-        words count. No block holds more than the whole text does, so the filters are tried on that first."""
-        whole = self.block(held)
-        if not whole:
+        words count. Runs with a word of a template's prefix lie in short stretches around such words; no block holds more
+        than its stretch does, nor than the whole text, so the filters are tried on those first."""
+        touched = {k: hits for k, hits in self._touched(held).items() if self._passes(k, held, hits)}
+        if not touched:
             return []
         found = [x for line in low.split(b"\n") for x in self.block(set(_WORDS(line)))] if lines else []
-        likely = {label for label, _ in whole}
-        for label, template, need in self.templates:
-            if label in likely and (n := most_in_run(words, template, self.runs[label], self.telling.get(label, ()))) >= need:
-                found.append((label, n / len(template)))
+        wanted = {w for hits in touched.values() for w in hits}
+        spots: dict[bytes, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in wanted:
+                spots.setdefault(w, []).append(i)
+        for k, hits in touched.items():
+            label, template, need = self.templates[k]
+            best = 0
+            for a, b in stretches(sorted(i for w in hits for i in spots[w]), self.runs[k], len(words)):
+                part = words[a:b]
+                kinds = set(part)
+                if self._passes(k, kinds, [w for w in hits if w in kinds]):
+                    best = max(best, most_in_run(part, template, self.runs[k], self.telling.get(label, ())))
+            if best >= need:
+                found.append((label, best / len(template)))
         return found
 
 
+def stretches(at: list[int], size: int, n: int) -> Iterator[tuple[int, int]]:
+    """From and to of the stretches of n words that hold all runs of `size` words with one of the places `at`."""
+    lo = hi = None
+    for i in at:
+        a, b = max(0, i - size + 1), min(n, i + size)
+        if lo is not None and a <= hi:
+            hi = b
+            continue
+        if lo is not None:
+            yield lo, hi
+        lo, hi = a, b
+    if lo is not None:
+        yield lo, hi
+
+
+def template_table(templates: DataFrame, most_bytes: int = 4 << 20) -> dict[str, str]:
+    """Templates from a table (label, text), such as whole license texts. Every worker holds them, so a table of over
+    `most_bytes` is refused. Rows without label or text are none; of equal labels the smallest text counts."""
+    rows = templates.select(F.col("label").cast("string").alias("label"), F.col("text").cast("string").alias("text")).where("label is not null and text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("label")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"templates of {size} bytes; at most {most_bytes} go to every worker")
+    return {r.label: r.text for r in rows.groupBy("label").agg(F.min("text").alias("text")).collect()}
+
+
 def most_in_run(words: list[bytes], template: frozenset[bytes], size: int, telling: Sequence[list[bytes]] = ()) -> int:
     """The most distinct words of `template` in any `size` consecutive words that hold all phrases of `telling`, whose words
     are the template's. Runs that end with a word of the template are enough."""

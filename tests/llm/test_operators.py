@@ -145,6 +145,62 @@ def test_ranking_and_calibration_by_themselves():
     assert np.mean((op3_toxicity.Trees(x, inside).raw(x) > 0) == inside) > 0.95
 
 
+def test_ranker_is_at_the_optimum_of_its_loss(monkeypatch):
+    """Its gradient is that of finite differences, and a slow plain descent on the same pairs ends where it does."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + r.normal(size=300) > 0).astype(int)
+    monkeypatch.setattr(op2_quality, "PAIRS", 2000)
+    m = op2_quality.Ranker(x, y, steps=1500)
+    z, rng = m._bins(x).astype(float), np.random.default_rng(7)
+    i, j = rng.choice(np.flatnonzero(y == 1), 2000), rng.choice(np.flatnonzero(y == 0), 2000)
+    d = z[i] - z[j]
+    loss = lambda w: np.mean(np.log1p(np.exp(-(d @ w)))) + 0.5e-4 * w @ w
+    step = np.eye(len(m.weights)) * 1e-5
+    numeric = np.array([(loss(m.weights + e) - loss(m.weights - e)) / 2e-5 for e in step])
+    assert abs(numeric).max() < 2e-3
+    slow = np.zeros(len(m.weights))
+    for _ in range(4000):
+        slow += 2.0 * (d.T @ (1 / (1 + np.exp(d @ slow))) / len(d) - 1e-4 * slow)
+    assert loss(m.weights) <= loss(slow) + 1e-4
+    # the cut lies at the bad rows' share of the scores
+    assert abs(np.mean(z @ m.weights < m.at) - np.mean(y == 0)) < 0.01
+
+
+def test_each_split_is_that_of_an_exhaustive_search():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(250, 3)).round(1)
+    g, h = r.normal(size=250), r.uniform(0.1, 0.25, size=250)
+    t = op3_toxicity.Trees(x, (x[:, 0] > 0).astype(float), trees=0)
+    b = t._bins(x)
+    feature, limit, value = t._grow(b, g, h, 32, 1.0, 2.0)
+    node = np.zeros(250, int)
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+    for level in range(t.depth):
+        for k in range(1 << level):
+            own = node == k
+            every = [(gain(own & (b[:, f] <= c)) + gain(own & (b[:, f] > c)) - gain(own), f, c) for f in range(3) for c in range(32) if h[own & (b[:, f] <= c)].sum() >= 2 and h[own & (b[:, f] > c)].sum() >= 2]
+            best = max((x[0] for x in every), default=0.0)
+            f, c = feature[level][k], limit[level][k]
+            made = gain(own & (b[:, f] <= c)) + gain(own & (b[:, f] > c)) - gain(own)
+            assert abs(max(best, 0) - made) < 1e-9
+        node = node * 2 + (b[np.arange(250), feature[level][node]] > limit[level][node])
+    assert all(abs(value[k] - g[node == k].sum() / (h[node == k].sum() + 1.0)) < 1e-12 for k in range(8) if (node == k).any())
+
+
+def test_isotonic_is_the_min_max_formula():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        raw, y = r.permutation(n).astype(float), r.integers(0, 2, n).astype(float)
+        knots, levels = op3_toxicity.isotonic(raw, y)
+        s = y[np.argsort(raw)]
+        exact = [max(min(s[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        # knots stand at the means of their blocks, which hold equal levels
+        assert sorted(set(np.round(exact, 12))) == sorted(set(np.round(levels, 12)))
+        blocks = [np.flatnonzero(np.isclose(exact, v)) for v in sorted(set(exact))]
+        assert np.allclose(knots, [b.mean() for b in blocks])
+
+
 def test_lexicon_finds_disguised_words():
     f = dict(zip(op3_toxicity.NAMES, op3_toxicity.features(["You are an 1d1ot, really", ""], {"idiot": 3.0})[0], strict=True))
     assert f["lexicon_kinds"] == 1 and f["you"] > 0 and not op3_toxicity.features([""], {"idiot": 3.0}).any()
@@ -385,6 +441,37 @@ def test_filters_lose_no_block():
         assert set(m.block(block)) == expected
 
 
+def test_filters_reject_and_runs_are_those_of_brute_force():
+    r = random.Random(16)
+    pool = [f"t{i}" for i in range(40)]
+    templates = {str(k): " ".join(r.choices(pool, k=r.randint(3, 14))) for k in range(12)}
+    m = op8_licenses.Matcher(templates, {w.encode(): r.randint(0, 9) for w in pool}, 0.8)
+    for _ in range(400):
+        words = [w.encode() for w in r.choices(pool + [f"o{i}" for i in range(60)], k=r.randint(0, 60))]
+        if r.random() < 0.7:
+            t = r.choice(list(templates.values())).encode().split()
+            words[len(words) // 2 : len(words) // 2] = [w if r.random() < 0.9 else b"odd" for w in t]
+        expected = set()
+        for k, t in templates.items():
+            template, size = set(t.encode().split()), len(t.split())
+            best = max((len(template.intersection(words[i : i + size])) for i in range(len(words))), default=0)
+            if best >= 0.8 * len(template) - 1e-9:
+                expected.add((k, best / len(template)))
+        assert set(m.text(b"", words, set(words), False)) == expected
+    assert m.rejected["length"] > 20 and m.rejected["position"] > 100
+
+
+def test_whole_license_texts_from_a_table(spark):
+    text = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    rows = [("isc", text), ("isc", "zz later"), (None, "x"), ("none", None), ("empty", "")]
+    templates = op8_licenses.template_table(spark.createDataFrame(rows, "label string, text string"))
+    assert templates == {"isc": text, "empty": ""}
+    docs = spark.createDataFrame([(1, "Copyright X\n\n * " + text.upper().replace(", ", ",\n * ") + " THE END " * 9000, "", "", "", ""), (2, text[:60], "", "", "", ""), (2, None, "", "", "", "")], DOC)
+    assert [(r.doc_id, r.labels) for r in op8_licenses.scan(docs, templates=templates).orderBy("doc_id").collect()] == [(1, "isc"), (2, ""), (2, "")]
+    with pytest.raises(ValueError, match="bytes"):
+        op8_licenses.template_table(spark.createDataFrame(rows, "label string, text string"), most_bytes=100)
+
+
 def test_wrapped_notices_are_found(spark):
     wrapped = [
         ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
