@@ -110,7 +110,25 @@ def _digest(s: np.ndarray) -> tuple[bytes, int]:
     return digest, int.from_bytes(digest[:8], "big", signed=True)
 
 
-def _map(buckets: int):
+def _names(spark: SparkSession, partitions: int, buckets: int) -> np.ndarray:
+    """Names for buckets, which a shuffle deals to partitions by their hash, such that every partition gets as many. Where
+    there are many buckets a partition, chance sees to that."""
+    each = -(-buckets // partitions)
+    if each >= 16:
+        return np.arange(buckets, dtype=np.int64)
+    found: dict[int, list[int]] = {p: [] for p in range(partitions)}
+    start, step = 0, 4 * partitions * each + 100
+    while any(len(x) < each for x in found.values()):
+        names = spark.range(start, start + step).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(partitions)).alias("p"))
+        for r in names.collect():
+            found[r.p].append(r.id)
+        start += step
+    return np.array([x[k] for k in range(each) for x in found.values()][:buckets], np.int64)
+
+
+def _map(names: np.ndarray):
+    buckets = len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int, int]] = {}  # of equal sets in a task one is indexed
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
@@ -144,7 +162,7 @@ def _map(buckets: int):
                 for i, j in zip(edge, np.r_[edge[1:], len(bucket)], strict=True):
                     used, local = np.unique(own[i:j] >> 1, return_inverse=True)
                     low = np.ascontiguousarray(sig[i:j].view(np.uint16).reshape(-1, 4)[:, :3])  # 48 bits; the bucket tells more
-                    out.append((int(bucket[i]), low.tobytes(), (local.astype(np.uint16) * 2 + (own[i:j] & 1)).astype(np.uint16).tobytes(), nodes[used].tobytes(), counts[used].tobytes(), None))
+                    out.append((int(names[bucket[i]]), low.tobytes(), (local.astype(np.uint16) * 2 + (own[i:j] & 1)).astype(np.uint16).tobytes(), nodes[used].tobytes(), counts[used].tobytes(), None))
             yield _rows(out)
 
     return run
@@ -279,8 +297,9 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     component's smallest id."""
     spark = common.tune(docs.sparkSession)
     texts = common.doc_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(texts) // BUCKET_BYTES)
-    packed = texts.mapInArrow(_map(buckets), _PACKED)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, common.input_bytes(texts) // BUCKET_BYTES)
+    packed = texts.mapInArrow(_map(_names(spark, partitions, buckets)), _PACKED)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] >= 0:

@@ -639,6 +639,13 @@ def test_pigeonhole_holds_for_random_sets():
                 assert len(np.intersect1d(*every)) >= 1
 
 
+def test_buckets_fill_partitions_evenly(spark):
+    for partitions, buckets in ((7, 7), (5, 12), (3, 300)):
+        names = op9_jaccard._names(spark, partitions, buckets)
+        at = spark.createDataFrame([(int(x),) for x in names], "b int").select(F.pmod(F.hash("b"), F.lit(partitions)).alias("p")).groupBy("p").count().collect()
+        assert len(set(names.tolist())) == buckets and max(r["count"] for r in at) <= max(-(-buckets // partitions), 130 if buckets == 300 else 0)
+
+
 def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (201, 200), (202, 201), (200, 202)]
     out = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
