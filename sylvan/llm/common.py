@@ -68,9 +68,23 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _LEFT.add(path)
     return out
 
 
+#: Paths of tables that `written` made and nobody has discarded.
+_LEFT: set[str] = set()
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes all tables that `written` has left in the shared folder; for when results that read from them are stored. How
+    many there were."""
+    paths = sorted(_LEFT)
+    for p in paths:
+        delete(spark, p)
+    return len(paths)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that `written` made, once all that was read from them is itself written."""
     for t in tables:
@@ -80,6 +94,7 @@ def discard(*tables: DataFrame) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    _LEFT.discard(path)
 
 
 #: A key is hot if it has more than one in HOT_SHARE of a table's rows, so there are fewer hot keys than that; and no key of

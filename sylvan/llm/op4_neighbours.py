@@ -270,7 +270,7 @@ def _search(vectors, every=20, k=K, id_col="vec_id", vector_col="embedding", tre
     cuts = spark.sparkContext.broadcast(by_dim)  # 17 numbers a tree for each slice
     seen = common.written(descent(found, cuts, trees, seed), "op4-descent")
     levels = common.written(ascent(seen, {d: c.rows for d, c in by_dim.items()}, share, k), "op4-levels")
-    asked = common.written(routed(found, seen, levels, cuts), "op4-asked")
+    asked = routes = common.written(routed(found, seen, levels, cuts), "op4-asked")
     common.discard(seen)
     key = ["tree", "slice", "dim"]
     blocks = asked.groupBy(*key).agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks"))
@@ -284,7 +284,7 @@ def _search(vectors, every=20, k=K, id_col="vec_id", vector_col="embedding", tre
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     top = best.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("nth", rank).where(F.col("nth") <= k + 1)
     lists = common.written(top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near")), "op4-near")
-    common.discard(found)
+    common.discard(found, blocks, routes)
     own = common.spread_join(queries.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("query")), lists, "query")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = own.select("query_id", F.posexplode(others).alias("at", "x"))

@@ -125,6 +125,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("base"))
     inside = Window.partitionBy("file").orderBy("doc_id", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # `rows` is small beside the texts, and read when the result is
     return rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

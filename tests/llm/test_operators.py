@@ -718,3 +718,21 @@ def test_hot_keys_are_joined_by_broadcast(spark):
     right = spark.createDataFrame([(i, i * 10) for i in range(0, 50, 7)], "k long, y long")
     for how in ("inner", "left"):
         assert sorted(common.spread_join(left, right, "k", how).collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+
+
+def test_sweep_removes_what_is_left(spark, tmp_path):
+    t = common.written(spark.range(5), "left")
+    assert t.count() == 5 and common.sweep(spark) >= 1 and common.sweep(spark) == 0
+    assert not __import__("os").path.exists(t._stored_at)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    held = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                common.shared_dir(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", held)
