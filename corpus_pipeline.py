@@ -71,8 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written and read again before the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over documents, each one's rows written and read again before the next, which removes them. The last stage
+    writes its files before it returns."""
+    docs, held = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        common.discard(*held)
+        held = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    common.discard(*held)
+    return out
