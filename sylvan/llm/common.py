@@ -106,13 +106,18 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     """`left` joined with `right`, where `key` is unique in `right` and any one of its values may hold a large part of `left`.
 
     The rows of hot keys stay where they are and meet their few partners by broadcast (fewer than HOT_SHARE rows of `right`);
-    all others meet theirs in a shuffle. `how` is inner or left; null keys have no partner. Reads `left` twice.
+    all others meet theirs in a shuffle. `how` is inner or left; null keys have no partner. Reads `left` twice. Only the hot
+    keys themselves pass through the driver.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
     total = left.count()
-    hot = written(counts.where(F.col("__n") > max(HOT_LEAST, total // HOT_SHARE)).select(key), "hot")
-    if not hot.limit(1).count():
+    if total <= HOT_LEAST:
+        return left.join(right, key, how)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    keys = counts.where(F.col("__n") > max(HOT_LEAST, total // HOT_SHARE)).select(key)
+    rows = keys.collect()
+    if not rows:
         return left.join(right, key, how)
+    hot = left.sparkSession.createDataFrame(rows, keys.schema)
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     cold = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
     return cold.unionByName(left.join(F.broadcast(hot), key, "left_semi").join(few, key, how))

@@ -726,13 +726,14 @@ def test_sweep_removes_what_is_left(spark, tmp_path):
     assert not __import__("os").path.exists(t._stored_at)
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
-    held = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
-        if not spark.conf.get("spark.checkpoint.dir", None):
-            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-                common.shared_dir(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", held)
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, top=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: "set")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: top), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master))
+    assert common.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y" and common.shared_dir(session("local[4]")).startswith("/tmp")
