@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from sylvan.session import importable
 
@@ -117,10 +117,16 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     rows = keys.collect()
     if not rows:
         return left.join(right, key, how)
-    hot = left.sparkSession.createDataFrame(rows, keys.schema)
-    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
-    cold = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    return cold.unionByName(left.join(F.broadcast(hot), key, "left_semi").join(few, key, how))
+    kind = keys.schema[0].dataType
+    hot = F.coalesce(F.col(key).isin([_literal(r[0], kind) for r in rows]), F.lit(False))
+    few = F.broadcast(right.where(hot))
+    return left.where(~hot).join(right, key, how).unionByName(left.where(hot).join(few, key, how))
+
+
+def _literal(value, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)])
+    return F.lit(value).cast(kind)
 
 
 def input_bytes(texts: DataFrame) -> int:

@@ -718,6 +718,10 @@ def test_hot_keys_are_joined_by_broadcast(spark):
     right = spark.createDataFrame([(i, i * 10) for i in range(0, 50, 7)], "k long, y long")
     for how in ("inner", "left"):
         assert sorted(common.spread_join(left, right, "k", how).collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+    packed = lambda df: df.withColumn("k", F.struct(F.col("k").alias("id"), F.lit(None).cast("string").alias("name"), F.lit("x").alias("z")))
+    a, b = packed(left.where("k is not null")), packed(right)
+    out = common.spread_join(a, b, "k")
+    assert out.count() == a.join(b, "k").count() and "Python" not in out._jdf.queryExecution().toString()
 
 
 def test_sweep_removes_what_is_left(spark, tmp_path):
