@@ -10,11 +10,16 @@ non-empty segments than that has one in common with every partner. All segments
    left is verified on whole sets.
 3. A hot group is settled if its members are in one component by now. A document is deficient if its settled signatures
    are no more than its possible differences: only pairs of two deficient documents in an unsettled group can be missing.
-   Those are compared in blocks, by an inverted index, wherever their components differ.
-
-Hot signatures cost pairs only for documents that have nothing better; there is no cost-based allocation of thresholds to
-segments. One-deletion neighbourhoods serve documents whose segments are too few (short ones), as whole sets and not by
-segment: their signatures are joined by those of the set less one shingle.
+4. Deficient documents are indexed again, by all their segments and by each segment less any one shingle. What a signature
+   costs is the number of deficient documents that have it, and each document takes the cheapest thresholds: a segment left
+   out finds nothing, one taken whole finds partners that are equal there, one taken with its one-deletion neighbourhood
+   finds those that differ there by one. These count 0, 1 and 2; more than its possible differences in all, and it finds
+   every partner among the deficient.
+5. Documents whose cheapest thresholds cost over BUDGET, or do not suffice, are compared in blocks, by an inverted index,
+   wherever their components differ.
+
+In the first index, one-deletion neighbourhoods serve documents whose segments are too few (short ones), as whole sets: their
+signatures are joined by those of the set less one shingle.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
@@ -37,6 +42,10 @@ from sylvan.llm import shingles as sh
 SEGMENTS = 0.45
 #: Largest group that gives all its pairs, and documents of a block in the last comparison.
 SMALL, BLOCK = 24, 2000
+#: Most candidates that thresholds may cost a deficient document; one that needs more is compared in blocks.
+BUDGET = 2000
+#: Offers that a Python worker gathers before it gives them back.
+OFFERS = 100_000
 #: Sets of up to so many shingles differ in one at most from partners as large or larger; those have one shingle more at most.
 SHORT = 5
 #: Stands for a null id among nodes: larger than other ids, so no component is named by it that has another id.
@@ -68,14 +77,32 @@ def roles(n: int) -> list[tuple[int, int]]:
     return [(0, b), (1, b - 1)] if b and -(-3 * n // 4) < 1 << b else [(0, b)]
 
 
-def signatures(s: np.ndarray, band: int) -> np.ndarray:
-    """A signature for each non-empty segment of the sorted set `s` in the partition of `band`."""
+def _segments(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-empty segments of the sorted set `s` in the partition of `band`: their numbers, where they start, and the
+    sums that their signatures mix."""
     m = max(2, math.ceil(SEGMENTS * (2 << band)))
     with np.errstate(over="ignore"):
         segment = (s >> _U(40)) * _U(m) >> _U(24)
         first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-        out = sh.mix(np.add.reduceat(sh.mix(s), first) + _U(band + 1) * _U(0x9E3779B97F4A7C15) + segment[first])
-    return out
+        return segment[first], first, np.add.reduceat(sh.mix(s), first) + _U(band + 1) * _U(0x9E3779B97F4A7C15) + segment[first]
+
+
+def signatures(s: np.ndarray, band: int) -> np.ndarray:
+    """A signature for each non-empty segment of the sorted set `s` in the partition of `band`."""
+    return sh.mix(_segments(s, band)[2])
+
+
+def offers(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, kind, signature): of each non-empty segment as a whole (kind 0), and less any one shingle (kind 1) where that
+    leaves some."""
+    number, first, total = _segments(s, band)
+    size = np.diff(np.r_[first, len(s)])
+    at = np.repeat(np.arange(len(first)), size)
+    with np.errstate(over="ignore"):
+        less = sh.mix(total[at] - sh.mix(s))[size[at] > 1]
+    at = at[size[at] > 1]
+    kind = np.repeat(np.array([0, 1], np.int8), [len(first), len(at)])
+    return np.r_[number, number[at]], kind, np.r_[sh.mix(total), less]
 
 
 def neighbourhood(s: np.ndarray) -> np.ndarray:
@@ -259,6 +286,75 @@ def _node(doc_id: str, key: str):
     return F.struct(F.col(doc_id).alias("id"), F.col(key).alias("key"))
 
 
+_OFFER = "key long, comp long, n int, role byte, seg int, kind byte, sig long"
+_OFFER_KINDS = [np.int64, np.int64, np.int32, np.int8, np.int32, np.int8, np.int64]
+
+
+def _offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Offers of the sets in rows (key, comp, set), in the roles of their sizes."""
+    names = [c.split()[0] for c in _OFFER.split(", ")]
+    held, rows = [], 0
+
+    def given() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    for b in batches:
+        for i in range(b.num_rows):
+            key, comp = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+            s = b.column(2)[i].values.to_numpy(zero_copy_only=False).view(_U)
+            for role, band in roles(len(s)):
+                seg, kind, sig = offers(s, band)
+                same = [np.full(len(sig), v, k) for v, k in zip((key, comp, len(s), role), _OFFER_KINDS, strict=False)]
+                held.append((*same, seg.astype(np.int32), kind, sig.view(np.int64)))
+                rows += len(sig)
+            if rows > OFFERS:
+                yield given()
+                held, rows = [], 0
+    if held:
+        yield given()
+
+
+def _allocated(deficient: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links that the cheapest thresholds find between `deficient` documents of different components, the documents that
+    found no thresholds within BUDGET, and tables to discard later.
+
+    A whole segment costs the documents that have it whole; one-deletion costs, besides, those that have it less a shingle
+    and those whose whole segment is this one less a shingle. A document takes as many of the cheapest as it needs; a segment's
+    second threshold comes after its first.
+    """
+    made = common.written(deficient.select("key", "comp").join(sets, "key").mapInArrow(_offered, _OFFER), "op9-offers")
+    whole, less = F.col("kind") == 0, F.col("kind") == 1
+    weights = common.written(made.groupBy("sig").agg(F.count(F.when(whole, 1)).alias("wholes"), F.count(F.when(less, 1)).alias("lesses")), "op9-weights")
+    priced = common.written(common.spread_join(made, weights, "sig"), "op9-priced")
+    first, more = F.max(F.when(whole, F.col("wholes") - 1)), F.sum(F.when(whole, F.col("lesses")).otherwise(F.col("wholes")))
+    segments = priced.groupBy("key", "n", "role", "seg").agg(first.alias("c0"), more.alias("c1"), F.max("kind").alias("most"))
+    step = lambda level, cost, after: F.struct(F.lit(level).alias("level"), F.col(cost).alias("cost"), after.alias("price"))
+    one, two = step(0, "c0", F.col("c0")), step(1, "c1", F.greatest("c0", "c1"))
+    steps = segments.select("key", "role", "n", "seg", F.inline(F.when(F.col("most") == 1, F.array(one, two)).otherwise(F.array(one))))
+    cheapest = Window.partitionBy("key", "role").orderBy("price", "level", "seg")
+    needed = F.when(F.col("role") == 0, _needs(0)).otherwise(_needs(1))
+    taken = common.written(steps.withColumn("needed", needed).withColumn("at", F.row_number().over(cheapest)).where("at <= needed"), "op9-taken")
+    by_role = taken.groupBy("key", "role").agg((F.count("*") == F.max("needed")).alias("enough"), F.sum("cost").alias("cost"))
+    found = by_role.groupBy("key").agg(F.min("enough").alias("enough"), F.sum("cost").alias("cost")).where(F.col("enough") & (F.col("cost") <= BUDGET)).select("key")
+    found = common.written(found, "op9-allocated")
+
+    plan = taken.join(found, "key", "left_semi").groupBy("key", "role", "seg").agg(F.max("level").alias("level"))
+    asked = priced.join(plan, ["key", "role", "seg"]).where("kind <= level")
+    kinds = F.when((F.col("level") == 1) & whole, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    probes = asked.select("sig", F.explode(kinds.cast("array<tinyint>")).alias("kind"), F.col("key").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
+    # what costs more than the budget is never asked for
+    index = priced.where(F.when(whole, F.col("wholes") - 1).otherwise(F.col("lesses")) <= BUDGET).select("sig", "kind", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
+    near = 4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")
+    met = probes.join(index, ["sig", "kind"]).where((F.col("a_comp") != F.col("b_comp")) & near)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    named = lambda x: deficient.select(F.col("key").alias(x), F.col("id").alias(f"{x}_id"))
+    pairs = common.written(pairs.join(named("a"), "a").join(named("b"), "b"), "op9-met")
+    links = common.written(_verified(pairs, sets), "op9-links")
+    common.discard(made, weights, priced, taken, pairs)
+    return links, deficient.join(found, "key", "left_anti"), [found, links]
+
+
 def _cross(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Links between documents of two blocks that are in different components."""
     out = []
@@ -329,7 +425,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     doubtful = nodes.where(~_complete("h0", "h1"))
     wanted = likely.select(F.col("a_id").alias("id")).union(likely.select("b_id")).union(doubtful.select("id")).distinct()
     sets = common.written(_sets(texts, wanted), "op9-sets")
-    edges = common.written(_verified(likely, sets), "op9-edges")
+    edges = verified = common.written(_verified(likely, sets), "op9-edges")
     labels = graph.components(edges)
 
     roots = labels.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
@@ -339,18 +435,28 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     unsettled = hot.join(open_sigs, "sig").groupBy("key").agg(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("u0"), F.sum(F.when(F.col("role") == 1, 1).otherwise(0)).alias("u1"))
     d = placed.join(unsettled, "key", "left").na.fill(0, ["u0", "u1"])
     deficient = common.written(d.where(~_complete("u0", "u1")).select("id", "key", "comp"), "op9-deficient")
-    n = deficient.count()
-    if n > 1 and deficient.select("comp").distinct().limit(2).count() > 1:
-        blocks = math.ceil(n / BLOCK)
-        own = deficient.join(sets, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-        to = lambda lo, hi, x, y: own.withColumn("other", F.explode(F.sequence(lo, hi))).select(*[F.col(c).alias(c) for c in ("id", "key", "comp", "set")], F.col(x).alias("i"), F.col(y).alias("j"))
-        left, right = to(F.col("own"), F.lit(blocks - 1), "own", "other"), to(F.lit(0), F.col("own"), "other", "own")
-        more = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_cross, "a_id long, a long, b_id long, b long")
-        more = common.written(more, "op9-more")
-        if more.limit(1).count():
-            labels = graph.components(edges.union(more.select(_node("a_id", "a"), _node("b_id", "b"))))
-        common.discard(more)
-    common.discard(nodes, likely, sets, edges, deficient)
+    open_comps = lambda d: d.select("comp").distinct().limit(2).count() > 1
+    if open_comps(deficient):
+        links, left_over, drop = _allocated(deficient, sets)
+        rest = common.written(left_over, "op9-rest")
+        more = [links]
+        n = rest.count()
+        if n > 1 and open_comps(rest):
+            blocks = math.ceil(n / BLOCK)
+            own = rest.join(sets, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+            to = lambda lo, hi, x, y: own.withColumn("other", F.explode(F.sequence(lo, hi))).select(*[F.col(c).alias(c) for c in ("id", "key", "comp", "set")], F.col(x).alias("i"), F.col(y).alias("j"))
+            left, right = to(F.col("own"), F.lit(blocks - 1), "own", "other"), to(F.lit(0), F.col("own"), "other", "own")
+            met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_cross, "a_id long, a long, b_id long, b long")
+            met = common.written(met, "op9-more")
+            more.append(met.select(_node("a_id", "a").alias("a"), _node("b_id", "b").alias("b")))
+            drop.append(met)
+        fresh = [m for m in more if m.limit(1).count()]
+        if fresh:
+            for m in fresh:
+                edges = edges.union(m)
+            labels = graph.components(edges)
+        common.discard(rest, *drop)
+    common.discard(nodes, likely, sets, verified, deficient)
     for kind in (PAIR, HOT):
         common.delete(spark, f"{found._stored_at}/kind={kind}")
 

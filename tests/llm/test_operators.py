@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -602,7 +602,9 @@ def test_texts_of_one_id_are_linked_each_by_itself(spark, monkeypatch, small):
     assert {k: sorted(v) for k, v in out.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
-def test_the_last_comparison_alone_finds_hidden_links(spark, monkeypatch):
+@pytest.mark.parametrize("budget", [-1, 40, op9_jaccard.BUDGET, 10**6])  # -1: no thresholds are taken at all
+def test_the_last_comparison_alone_finds_hidden_links(spark, monkeypatch, budget):
+    monkeypatch.setattr(op9_jaccard, "BUDGET", budget)
     monkeypatch.setattr(op9_jaccard, "SMALL", 2)
     monkeypatch.setattr(op9_jaccard, "BLOCK", 20)
     docs = near_docs()
@@ -639,6 +641,56 @@ def test_pigeonhole_holds_for_random_sets():
                 assert len(np.intersect1d(*every)) >= 1
 
 
+def test_any_thresholds_that_suffice_find_a_linked_set():
+    r = np.random.default_rng(5)
+    seen = Counter()
+    for _ in range(600):
+        a = np.unique(r.integers(0, 2**63, int(r.integers(1, 90))).astype(np.uint64))
+        drop, add = int(r.integers(0, 1 + len(a) // 4)), int(r.integers(0, 1 + len(a) // 4))
+        b = np.unique(np.r_[r.permutation(a)[drop:], r.integers(0, 2**63, add).astype(np.uint64)])
+        if not sh.linked(a, b):
+            continue
+        band = op9_jaccard.band_of(min(len(a), len(b)))
+        for x, y in ((a, b), (b, a)):
+            role = 0 if op9_jaccard.band_of(len(x)) == band else 1
+            seg, kind, sig = op9_jaccard.offers(x, band)
+            most = {int(k): int(kind[seg == k].max()) for k in seg}
+            steps = [(k, t) for k in r.permutation(list(most)) for t in range(most[int(k)] + 1)]
+            need = op9_jaccard.needs(len(x), role)
+            if len(steps) < need:
+                seen["too few"] += 1
+                continue
+            level = {int(k): t for k, t in steps[:need]}
+            _, other_kind, other_sig = op9_jaccard.offers(y, band)
+            whole, less = set(other_sig[other_kind == 0].tolist()), set(other_sig[other_kind == 1].tolist())
+            hit = False
+            for k, t, v in zip(seg.tolist(), kind.tolist(), sig.tolist(), strict=True):
+                if t <= level.get(k, -1):
+                    hit = hit or v in whole or (level[k] == 1 and t == 0 and v in less)
+            assert hit
+            seen["found"] += 1
+    assert seen["found"] > 200
+
+
+@pytest.mark.parametrize("budget", [3, 60, 10**6])
+def test_documents_with_thresholds_find_every_link_by_them(spark, monkeypatch, budget):
+    monkeypatch.setattr(op9_jaccard, "BUDGET", budget)
+    sets = {}
+    for i, text in near_docs():
+        s = sh.shingle_set((text or "").encode())
+        if len(s):
+            sets.setdefault(op9_jaccard._digest(s)[1], s)
+    keys = sorted(sets)
+    table = spark.createDataFrame([(k, sets[k].view(np.int64).tolist()) for k in keys], "key long, set array<long>")
+    deficient = spark.createDataFrame([(k, k, k) for k in keys], "id long, key long, comp long")
+    links, rest, _ = op9_jaccard._allocated(deficient, table)
+    got = {(x.a.key, x.b.key) for x in links.collect()}
+    left = {x.key for x in rest.collect()}
+    true = {(a, b) for a in keys for b in keys if a < b and sh.linked(sets[a], sets[b])}
+    assert got <= true and {(a, b) for a, b in true if a not in left or b not in left} <= got
+    assert not left if budget == 10**6 else len(left) < len(keys)
+
+
 def test_buckets_fill_partitions_evenly(spark):
     for partitions, buckets in ((7, 7), (5, 12), (3, 300)):
         names = op9_jaccard._names(spark, partitions, buckets)
