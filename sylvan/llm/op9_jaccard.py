@@ -14,7 +14,7 @@ non-empty segments than that has one in common with every partner. All segments
    costs is the number of deficient documents that have it, and each document takes the cheapest thresholds: a segment left
    out finds nothing, one taken whole finds partners that are equal there, one taken with its one-deletion neighbourhood
    finds those that differ there by one. These count 0, 1 and 2; more than its possible differences in all, and it finds
-   every partner among the deficient.
+   every partner among the deficient. Of two that both can, one looks for the other.
 5. Documents whose cheapest thresholds cost over BUDGET, or do not suffice, are compared in blocks, by an inverted index,
    wherever their components differ.
 
@@ -344,9 +344,12 @@ def _allocated(deficient: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
     kinds = F.when((F.col("level") == 1) & whole, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     probes = asked.select("sig", F.explode(kinds.cast("array<tinyint>")).alias("kind"), F.col("key").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
     # what costs more than the budget is never asked for
-    index = priced.where(F.when(whole, F.col("wholes") - 1).otherwise(F.col("lesses")) <= BUDGET).select("sig", "kind", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
+    index = priced.where(F.when(whole, F.col("wholes") - 1).otherwise(F.col("lesses")) <= BUDGET).join(found.withColumn("asks", F.lit(True)), "key", "left")
+    index = index.select("sig", "kind", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"), F.coalesce("asks", F.lit(False)).alias("asks"))
     near = 4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")
-    met = probes.join(index, ["sig", "kind"]).where((F.col("a_comp") != F.col("b_comp")) & near)
+    # of two documents that both ask, one finds the other: its thresholds suffice by themselves
+    once = ~F.col("asks") | (F.col("a") < F.col("b"))
+    met = probes.join(index, ["sig", "kind"]).where((F.col("a_comp") != F.col("b_comp")) & near & once)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     named = lambda x: deficient.select(F.col("key").alias(x), F.col("id").alias(f"{x}_id"))
     pairs = common.written(pairs.join(named("a"), "a").join(named("b"), "b"), "op9-met")
