@@ -15,6 +15,7 @@ non-empty segments than that has one in common with every partner. All segments
    out finds nothing, one taken whole finds partners that are equal there, one taken with its one-deletion neighbourhood
    finds those that differ there by one. These count 0, 1 and 2; more than its possible differences in all, and it finds
    every partner among the deficient. Of two that both can, one looks for the other.
+   As in the first index, no signature of more than SMALL others gives pairs.
 5. Documents whose cheapest thresholds cost over BUDGET, or do not suffice, are compared in blocks, by an inverted index,
    wherever their components differ.
 
@@ -315,9 +316,9 @@ def _offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield given()
 
 
-def _allocated(deficient: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _allocated(deficient: DataFrame, sets: DataFrame, dearest: int = 2**62) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Links that the cheapest thresholds find between `deficient` documents of different components, the documents that
-    found no thresholds within BUDGET, and tables to discard later.
+    found no thresholds within BUDGET, and tables to discard later. No threshold is taken that costs over `dearest`.
 
     A whole segment costs the documents that have it whole; one-deletion costs, besides, those that have it less a shingle
     and those whose whole segment is this one less a shingle. A document takes as many of the cheapest as it needs; a segment's
@@ -331,7 +332,7 @@ def _allocated(deficient: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
     segments = priced.groupBy("key", "n", "role", "seg").agg(first.alias("c0"), more.alias("c1"), F.max("kind").alias("most"))
     step = lambda level, cost, after: F.struct(F.lit(level).alias("level"), F.col(cost).alias("cost"), after.alias("price"))
     one, two = step(0, "c0", F.col("c0")), step(1, "c1", F.greatest("c0", "c1"))
-    steps = segments.select("key", "role", "n", "seg", F.inline(F.when(F.col("most") == 1, F.array(one, two)).otherwise(F.array(one))))
+    steps = segments.select("key", "role", "n", "seg", F.inline(F.when(F.col("most") == 1, F.array(one, two)).otherwise(F.array(one)))).where(F.col("price") <= dearest)
     cheapest = Window.partitionBy("key", "role").orderBy("price", "level", "seg")
     needed = F.when(F.col("role") == 0, _needs(0)).otherwise(_needs(1))
     taken = common.written(steps.withColumn("needed", needed).withColumn("at", F.row_number().over(cheapest)).where("at <= needed"), "op9-taken")
@@ -343,8 +344,9 @@ def _allocated(deficient: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
     asked = priced.join(plan, ["key", "role", "seg"]).where("kind <= level")
     kinds = F.when((F.col("level") == 1) & whole, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     probes = asked.select("sig", F.explode(kinds.cast("array<tinyint>")).alias("kind"), F.col("key").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-    # what costs more than the budget is never asked for
-    index = priced.where(F.when(whole, F.col("wholes") - 1).otherwise(F.col("lesses")) <= BUDGET).join(found.withColumn("asks", F.lit(True)), "key", "left")
+    # what costs more than that is never asked for
+    most = min(BUDGET, dearest)
+    index = priced.where(F.when(whole, F.col("wholes") - 1).otherwise(F.col("lesses")) <= most).join(found.withColumn("asks", F.lit(True)), "key", "left")
     index = index.select("sig", "kind", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"), F.coalesce("asks", F.lit(False)).alias("asks"))
     near = 4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")
     # of two documents that both ask, one finds the other: its thresholds suffice by themselves
@@ -440,7 +442,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     deficient = common.written(d.where(~_complete("u0", "u1")).select("id", "key", "comp"), "op9-deficient")
     open_comps = lambda d: d.select("comp").distinct().limit(2).count() > 1
     if open_comps(deficient):
-        links, left_over, drop = _allocated(deficient, sets)
+        links, left_over, drop = _allocated(deficient, sets, SMALL)
         rest = common.written(left_over, "op9-rest")
         more = [links]
         n = rest.count()
