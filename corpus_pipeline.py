@@ -23,11 +23,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of an id that stands on one row are kept or left by that. Rows without id, or of one that repeats, are told apart by
     the keys of their texts. Empty tables give empty ones; columns may have any names.
     """
-    groups = common.written(op9_jaccard.labelled(docs), "groups")
+    n = docs.count()
+    groups = common.written(op9_jaccard.labelled(docs), "groups", n)
     stays = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("root")))
     counts = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
-    again = common.written(counts.where("n > 1").select("doc_id"), "repeated")
-    gone = common.written(counts.where("n = 1 and not stays").select("doc_id"), "duplicates")
+    again = common.written(counts.where("n > 1").select("doc_id"), "repeated", n)
+    gone = common.written(counts.where("n = 1 and not stays").select("doc_id"), "duplicates", n)
     every = common.columns(docs)
     kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     odd = groups.where(F.col("doc_id").isNull()).limit(1).count()

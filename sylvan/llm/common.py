@@ -61,11 +61,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sylvan/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+#: Rows of a file, where they are a few numbers and hashes.
+FILE_ROWS = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Where it is known to have about `rows` rows at most, there are no more files than one for every `file_rows`, or two for
+    every core if that is more, however many partitions the last shuffle had: on a local disk without Hadoop's native
+    library each file makes its executor start three processes (chmod).
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // file_rows)))
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     _LEFT.add(path)

@@ -17,16 +17,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     ends = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    both = common.written(ends.select("a", "b").union(ends.select("b", "a")).distinct(), "edges")
+    n = 2 * ends.count()
+    both = common.written(ends.select("a", "b").union(ends.select("b", "a")).distinct(), "edges", n)
     # the smallest neighbour is a first label that needs no join
-    labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
+    labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels", n)
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         nearer = labels.select("node", "root").join(around, "node").select("node", F.least("root", "low").alias("next"), F.col("root").alias("was"))
-        nearer = common.written(nearer, "labels")
+        nearer = common.written(nearer, "labels", n)
         # members of a large cluster all have one next node
         jump = common.spread_join(nearer, nearer.select(F.col("node").alias("next"), F.col("next").alias("far")), "next")
-        fresh = common.written(jump.select("node", F.least("next", "far").alias("root"), "was"), "labels")
+        fresh = common.written(jump.select("node", F.least("next", "far").alias("root"), "was"), "labels", n)
         common.discard(labels, nearer)
         labels = fresh
         if not fresh.where("root <> was").limit(1).count():

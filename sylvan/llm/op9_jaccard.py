@@ -57,6 +57,8 @@ ROWS = 16_384
 BROADCAST_IDS = 2_000_000
 #: Input bytes for a bucket of signatures.
 BUCKET_BYTES = 16 << 20
+#: Rows of a file, and so of a task, where these hold or compare whole sets.
+SET_ROWS = 2000
 
 PAIR, HOT, DOC = 1, 2, 0
 _FOUND = "kind int, a long, b long, n int, k0 int, k1 int, digest binary"
@@ -256,8 +258,8 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(k1=0, digest=None)[["kind", "a", "b", "n", "k0", "k1", "digest"]].astype({"kind": "int32", "a": "int64", "b": "int64", "n": "int32", "k0": "int32", "k1": "int32"})
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, set) for the ids in `wanted`: their texts are fetched by a join and shingled again. Every text of an id counts, and
+def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """(key, set) for the ids in `wanted`, `rows` at most: their texts are fetched by a join and shingled again. Every text of an id counts, and
     with NO_ID every text without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +268,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             keys = [_digest(s)[1] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "set"])
 
-    ids = common.written(wanted.select(F.col("id").alias("doc_id")), "op9-wanted")
+    ids = common.written(wanted.select(F.col("id").alias("doc_id")), "op9-wanted", rows)
     # a list of bounded size goes to the texts; a longer one meets them in a shuffle
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     if ids.where(F.col("doc_id") == NO_ID).limit(1).count():
@@ -325,9 +327,10 @@ def _allocated(deficient: DataFrame, sets: DataFrame, dearest: int = 2**62) -> t
     second threshold comes after its first.
     """
     made = common.written(deficient.select("key", "comp").join(sets, "key").mapInArrow(_offered, _OFFER), "op9-offers")
+    n = made.count()
     whole, less = F.col("kind") == 0, F.col("kind") == 1
-    weights = common.written(made.groupBy("sig").agg(F.count(F.when(whole, 1)).alias("wholes"), F.count(F.when(less, 1)).alias("lesses")), "op9-weights")
-    priced = common.written(common.spread_join(made, weights, "sig"), "op9-priced")
+    weights = common.written(made.groupBy("sig").agg(F.count(F.when(whole, 1)).alias("wholes"), F.count(F.when(less, 1)).alias("lesses")), "op9-weights", n)
+    priced = common.written(common.spread_join(made, weights, "sig"), "op9-priced", n)
     first, more = F.max(F.when(whole, F.col("wholes") - 1)), F.sum(F.when(whole, F.col("lesses")).otherwise(F.col("wholes")))
     segments = priced.groupBy("key", "n", "role", "seg").agg(first.alias("c0"), more.alias("c1"), F.max("kind").alias("most"))
     step = lambda level, cost, after: F.struct(F.lit(level).alias("level"), F.col(cost).alias("cost"), after.alias("price"))
@@ -335,10 +338,10 @@ def _allocated(deficient: DataFrame, sets: DataFrame, dearest: int = 2**62) -> t
     steps = segments.select("key", "role", "n", "seg", F.inline(F.when(F.col("most") == 1, F.array(one, two)).otherwise(F.array(one)))).where(F.col("price") <= dearest)
     cheapest = Window.partitionBy("key", "role").orderBy("price", "level", "seg")
     needed = F.when(F.col("role") == 0, _needs(0)).otherwise(_needs(1))
-    taken = common.written(steps.withColumn("needed", needed).withColumn("at", F.row_number().over(cheapest)).where("at <= needed"), "op9-taken")
+    taken = common.written(steps.withColumn("needed", needed).withColumn("at", F.row_number().over(cheapest)).where("at <= needed"), "op9-taken", n)
     by_role = taken.groupBy("key", "role").agg((F.count("*") == F.max("needed")).alias("enough"), F.sum("cost").alias("cost"))
     found = by_role.groupBy("key").agg(F.min("enough").alias("enough"), F.sum("cost").alias("cost")).where(F.col("enough") & (F.col("cost") <= BUDGET)).select("key")
-    found = common.written(found, "op9-allocated")
+    found = common.written(found, "op9-allocated", n)
 
     plan = taken.join(found, "key", "left_semi").groupBy("key", "role", "seg").agg(F.max("level").alias("level"))
     asked = priced.join(plan, ["key", "role", "seg"]).where("kind <= level")
@@ -354,7 +357,7 @@ def _allocated(deficient: DataFrame, sets: DataFrame, dearest: int = 2**62) -> t
     met = probes.join(index, ["sig", "kind"]).where((F.col("a_comp") != F.col("b_comp")) & near & once)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     named = lambda x: deficient.select(F.col("key").alias(x), F.col("id").alias(f"{x}_id"))
-    pairs = common.written(pairs.join(named("a"), "a").join(named("b"), "b"), "op9-met")
+    pairs = common.written(pairs.join(named("a"), "a").join(named("b"), "b"), "op9-met", n)
     links = common.written(_verified(pairs, sets), "op9-links")
     common.discard(made, weights, priced, taken, pairs)
     return links, deficient.join(found, "key", "left_anti"), [found, links]
@@ -410,13 +413,16 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # documents' own rows pass through the shuffle too, dealt over the buckets' tasks
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("doc.a"), F.lit(buckets)).cast("int"))
-    found = common.written(packed.withColumn("bucket", spread).groupBy("bucket").applyInPandas(reduce, _FOUND), "op9-found", ("kind",))
+    found = common.written(packed.withColumn("bucket", spread).groupBy("bucket").applyInPandas(reduce, _FOUND), "op9-found")
+    counts = {DOC: 0, PAIR: 0, HOT: 0} | {r.kind: r.rows for r in found.groupBy("kind").agg(F.count("*").alias("rows")).collect()}
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n", "k0", "k1", "digest")
-    classes = common.written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.min("key").alias("key"), F.min("n").alias("n"), F.min("k0").alias("k0"), F.min("k1").alias("k1")), "op9-classes")
+    rows = common.written(rows, "op9-rows", counts[DOC])
+    classes = common.written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.min("key").alias("key"), F.min("n").alias("n"), F.min("k0").alias("k0"), F.min("k1").alias("k1")), "op9-classes", counts[DOC])
 
     hot = found.where(F.col("kind") == HOT).select(F.struct("k0", "a").alias("sig"), F.col("b").alias("key"), F.col("n").alias("role"))
+    hot = common.written(hot, "op9-hot", counts[HOT])
     heat = hot.groupBy("key").agg(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("h0"), F.sum(F.when(F.col("role") == 1, 1).otherwise(0)).alias("h1"))
-    nodes = common.written(classes.join(heat, "key", "left").na.fill(0, ["h0", "h1"]), "op9-nodes")
+    nodes = common.written(classes.join(heat, "key", "left").na.fill(0, ["h0", "h1"]), "op9-nodes", counts[DOC])
 
     side = lambda x: nodes.select(F.col("key").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "k0", "k1", "h0", "h1")])
     pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("shared"))
@@ -425,12 +431,13 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     low = band(F.least("a_n", "b_n"))
     of = lambda x, what: F.when(band(F.col(f"{x}_n")) == low, F.col(f"{x}_{what}0")).otherwise(F.col(f"{x}_{what}1"))
     demand = F.greatest(of("a", "k"), of("b", "k")) - F.floor((F.col("a_n") + F.col("b_n")) / 7) - F.least(of("a", "h"), of("b", "h"))
-    likely = common.written(j.where(F.col("shared") >= demand).select("a", "b", "a_id", "b_id"), "op9-pairs")
+    likely = common.written(j.where(F.col("shared") >= demand).select("a", "b", "a_id", "b_id"), "op9-pairs", counts[PAIR])
+    common.discard(found)
 
     doubtful = nodes.where(~_complete("h0", "h1"))
     wanted = likely.select(F.col("a_id").alias("id")).union(likely.select("b_id")).union(doubtful.select("id")).distinct()
-    sets = common.written(_sets(texts, wanted), "op9-sets")
-    edges = verified = common.written(_verified(likely, sets), "op9-edges")
+    sets = common.written(_sets(texts, wanted, counts[DOC]), "op9-sets", counts[DOC], SET_ROWS)
+    edges = verified = common.written(_verified(likely, sets), "op9-edges", likely.count(), SET_ROWS)
     labels = graph.components(edges)
 
     roots = labels.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
@@ -439,11 +446,11 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     open_sigs = hot.join(every, "key").groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     unsettled = hot.join(open_sigs, "sig").groupBy("key").agg(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("u0"), F.sum(F.when(F.col("role") == 1, 1).otherwise(0)).alias("u1"))
     d = placed.join(unsettled, "key", "left").na.fill(0, ["u0", "u1"])
-    deficient = common.written(d.where(~_complete("u0", "u1")).select("id", "key", "comp"), "op9-deficient")
+    deficient = common.written(d.where(~_complete("u0", "u1")).select("id", "key", "comp"), "op9-deficient", counts[DOC])
     open_comps = lambda d: d.select("comp").distinct().limit(2).count() > 1
     if open_comps(deficient):
         links, left_over, drop = _allocated(deficient, sets, SMALL)
-        rest = common.written(left_over, "op9-rest")
+        rest = common.written(left_over, "op9-rest", counts[DOC])
         more = [links]
         n = rest.count()
         if n > 1 and open_comps(rest):
@@ -461,9 +468,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 edges = edges.union(m)
             labels = graph.components(edges)
         common.discard(rest, *drop)
-    common.discard(nodes, likely, sets, verified, deficient)
-    for kind in (PAIR, HOT):
-        common.delete(spark, f"{found._stored_at}/kind={kind}")
+    common.discard(nodes, hot, likely, sets, verified, deficient)
 
     ends = labels.select(F.col("node.key").alias("key"), F.col("root.id").alias("low"), F.col("root.key").alias("root"))
     low = F.coalesce("low", "id")

@@ -1,5 +1,6 @@
 """The pipeline's stages on a small corpus: each decision takes effect on what came before."""
 
+import glob
 import random
 import zlib
 
@@ -80,3 +81,38 @@ def test_other_texts_of_an_id_stay(spark):
     kept = [(x.doc_id, (x.text or "").removesuffix(" tail")) for x in out.collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (1, ""), (5, b), (5, c), (5, ""), (7, d), (None, e), (12, f), (None, ""), (20, "long " * 30_000)], key=str)
     assert out.columns == docs.columns
+
+
+def test_small_tables_have_few_files(spark, corpus, monkeypatch):
+    """However many partitions a shuffle has, tables of a few rows are not written as that many files."""
+    few, files, written = 2 * spark.sparkContext.defaultParallelism, {}, common.written
+
+    def counted(df, name, *a, **b):
+        out = written(df, name, *a, **b)
+        files[name] = max(files.get(name, 0), len(glob.glob(f"{out._stored_at.removeprefix('file:')}/**/part-*", recursive=True)))
+        return out
+
+    conf = {"spark.sql.shuffle.partitions": str(4 * few), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    monkeypatch.setattr(common, "written", counted)
+    try:
+        docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+        kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, corpus[0]).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    groups = brute_components([(x, t) for x, t, *_ in corpus[1]])
+    assert sorted(kept) == sorted({c for _, _, c in groups})
+    assert files.pop("op9-found") > few  # texts are shingled and compared there: as many tasks as the shuffle has
+    assert {"op9-classes", "op9-pairs", "op9-edges", "edges", "labels", "groups", "duplicates"} <= set(files)
+    assert all(n <= few for n in files.values()), files
+
+
+def test_files_follow_rows(spark):
+    count = lambda t: len(glob.glob(f"{t._stored_at.removeprefix('file:')}/part-*"))
+    df = spark.range(0, 5000, 1, 100)
+    for rows, file_rows, files in ((None, 10, 100), (5000, 100, 50), (5000, 10, 100), (5000, 5000, 2 * spark.sparkContext.defaultParallelism)):
+        t = common.written(df, "files", rows, file_rows)
+        assert count(t) == files and sorted(r.id for r in t.collect()) == list(range(5000))
