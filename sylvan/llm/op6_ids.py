@@ -94,7 +94,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(rows) // FILE_BYTES)
     # a doc_id, or null, of a great many rows is split by the hash of their texts
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    out = rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    out = rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, ids array<int>")
     out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(ROW_INDEX)).option("orc.stripe.size", str(STRIPE)).option("orc.create.index", "true").option("compression", "snappy").orc(path)
 
 
@@ -121,7 +121,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at) // 4, pa.int64()), pa.array(crc, pa.int64()), b.column(2), b.column(3)], names=["doc_id", "n_tokens", "ids_crc32", "file", "block"])
 
     place = read_ids(spark, path).select("doc_id", "ids", F.element_at(F.split("_metadata.file_name", "-"), 2).cast("int").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("block"))
-    rows = common.written(place.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, file int, block struct<at:long,row:long>"), "op6-digest")
+    rows = common.written(place.mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids_crc32 long, file int, block struct<at:long,row:long>"), "op6-digest")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("base"))
     inside = Window.partitionBy("file").orderBy("doc_id", "block").rowsBetween(Window.unboundedPreceding, -1)

@@ -273,7 +273,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     if ids.where(F.col("doc_id") == NO_ID).limit(1).count():
         texts = texts.unionByName(docs.where(F.col("doc_id").isNull()))
-    return texts.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"])
+    return texts.mapInArrow(common.lean(run), "key long, set array<long>").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -403,7 +403,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = common.doc_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, common.input_bytes(texts) // BUCKET_BYTES)
-    packed = texts.mapInArrow(_map(_names(spark, partitions, buckets)), _PACKED)
+    packed = texts.mapInArrow(common.lean(_map(_names(spark, partitions, buckets))), _PACKED)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] >= 0:

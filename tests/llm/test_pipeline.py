@@ -116,3 +116,24 @@ def test_files_follow_rows(spark):
     for rows, file_rows, files in ((None, 10, 100), (5000, 100, 50), (5000, 10, 100), (5000, 5000, 2 * spark.sparkContext.defaultParallelism)):
         t = common.written(df, "files", rows, file_rows)
         assert count(t) == files and sorted(r.id for r in t.collect()) == list(range(5000))
+
+
+def test_workers_give_memory_back(spark):
+    def held() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon"))
+
+    def run(batches):
+        for b in batches:
+            before = held()
+            pieces = [bytes(1000) for _ in range(100_000)]
+            last = bytes(1000)  # stands above the pieces, so that freeing them doesn't shrink the heap
+            del pieces
+            yield b
+        assert held() - before > 50_000 and last, "what was freed is still held"
+        spent.append(before)
+
+    spent: list[int] = []
+    for _ in common.lean(run)([None]):
+        pass
+    assert held() - spent[0] < 30_000
